@@ -6,13 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space that separates words in every contract: space and U+0009..U+000D.
 WS = "[\\x20\\x09-\\x0D]+"
 _own_dir: str | None = None
+_record: list[str] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _record is not None:
+        _record.append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths made inside, so that a caller can delete them once its result is written elsewhere."""
+    global _record
+    before, _record = _record, []
+    try:
+        yield _record
+    finally:
+        _record = before
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
