@@ -60,7 +60,7 @@ _FREQ = "doc_id long, text_key long, n_bytes long, known long, rest array<struct
 _REST = pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int64())]))
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int, head: int = 250_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, limit: int, head: int = 50_000) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     pieces = written(piece_table(docs, vocabulary), "pre-tokens")
