@@ -44,14 +44,15 @@ def _match(rule: Rule) -> Column:
     return F.when(glob_any(F.col("path"), rule.globs) & text.rlike(rule.java), hits)
 
 
-def grep(lines: DataFrame, rules: list[Rule]) -> DataFrame:
+def grep(lines: DataFrame, rules: list[Rule], shown: str = "text") -> DataFrame:
     """``rule_id, label, tier, cap, path, line, ordinal, line_content, match_text``, uncapped.
 
     Every rule is tested on each line of one scan; a line that matches several rules gives a row for
-    each, so the result is a bag.
+    each, so the result is a bag.  ``shown`` is the column that becomes ``line_content``, such as a
+    masked form of the line.
     """
     hits = F.flatten(F.filter(F.array(*[_match(r) for r in rules]), lambda m: m.isNotNull()))
-    each = lines.select("path", "line", F.col("text").alias("line_content"), F.explode(hits).alias("m"))
+    each = lines.select("path", "line", F.col(shown).alias("line_content"), F.explode(hits).alias("m"))
     return each.select("m.rule_id", "m.label", "m.tier", "m.cap", "path", "line", "m.ordinal", "line_content", "m.match_text")
 
 

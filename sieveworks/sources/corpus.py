@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.redact import sanitize
 from ..functions.text import ancestors, base_name, digest, parent_path, split_lines
 
 
@@ -29,6 +30,13 @@ class Corpus:
         each = self.files.where(F.col("content").isNotNull()).select("path", F.posexplode(split_lines(F.col("content"))).alias("_at", "text"))
         return each.select("path", (F.col("_at") + 1).alias("line"), "text")
 
+    @cached_property
+    def safe_lines(self) -> DataFrame:
+        """:attr:`lines` with ``safe_text``, the line of the file masked as a whole: context decides what is secret."""
+        pairs = F.arrays_zip(split_lines(F.col("content")).alias("text"), split_lines(sanitize("content")).alias("safe_text"))
+        each = self.files.where(F.col("content").isNotNull()).select("path", F.posexplode(pairs).alias("_at", "_l"))
+        return each.select("path", (F.col("_at") + 1).alias("line"), F.col("_l.text").alias("text"), F.coalesce("_l.safe_text", F.lit("")).alias("safe_text"))
+
     @cached_property
     def dirs(self) -> DataFrame:
         """``path, name, parent, depth`` of every directory above a file."""
