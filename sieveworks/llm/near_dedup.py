@@ -1,7 +1,7 @@
 """MinHash near-dedup by a chosen-path similarity join.
 
-Every text is its set of distinct five-word shingles; equal sets are one class, represented by the
-smallest document id.  In each of ``trees`` trees a class starts at the root; each node chooses one or
+Every text is its set of distinct five-word shingles; equal sets are one class, named by a hash of
+the set.  In each of ``trees`` trees a class starts at the root; each node chooses one or
 two positions of the minwise signature, and a class moves to the child named by its token there.  Classes
 that meet at a node are likely to be similar.
 
@@ -9,20 +9,22 @@ that meet at a node are likely to be similar.
   into components.  A node whose members are one component needs no further comparison.
 * What is left of a node of at most ``small`` members is compared exhaustively, pairs of different
   components only.
-* A larger node goes ``step`` levels deeper, where unrelated members part, down to ``depth``.
-* A node that is still large there is dense.  Some of its members that are not in its main component are
-  compared with all members, more of them each time, until each has been or all are one component.
-  So no pair that meets at such a node is skipped, and no group is collected anywhere.
+* A larger node without a main component goes ``step`` levels deeper, where unrelated members part, down
+  to ``depth``.
+* A larger node with a component of half its members, or at full depth, is dense.  Some of its members
+  that are not in the main component are compared with all members, more of them each time, until
+  each has been or all are one component.  So no pair that meets at such a node is skipped, and
+  no group is collected anywhere.
 
 Candidate pairs pass a sketch (64 bytes each; a similarity of ``percent`` falls below its threshold once in
-a million) and are then confirmed on full sets.  Components are found by passing on the least label, in
-tables.  Every round is written to the shared folder, so lost executors cost one round at most.
+a million) and are then confirmed on full sets.  Links between components so far are joined in one task
+while there are at most ``one_task`` of them, and beyond by passing on the least label, in tables.  Every round is written to the shared folder, so lost executors cost one round at most.
 
 The recall of a pair at the threshold similarity is at least 1 - (1 - s**first)**trees.
 
 Defined results: a null or empty text has no shingles and is its own component; a row with a null id
-is not compared, gets a null component and is kept; rows with the same id are compared each by its own
-text and share the smallest id they reach; rows that share a kept id are all kept.  An empty table gives no
+is not compared, gets a null component and is kept; rows with the same id are compared each by its
+own text; identical rows of a kept document are all kept.  An empty table gives no
 rows.  Other columns are read only by :func:`keep_one`, which passes them on.
 """
 
@@ -48,7 +50,8 @@ class Join:
     depth: int = 11
     branch: float = 0.3
     small: int = 24
-    leaders: int = 8
+    leaders: int = 4
+    one_task: int = 500_000
 
     @property
     def agreeing(self) -> int:
@@ -73,12 +76,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(i, rows)
 
 
+def _key() -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h")]
+
+
 def describe(docs: DataFrame, how: Join) -> DataFrame:
-    """``doc_id, n, s1, s2, sketch, nodes`` of each row of ``docs(doc_id, text)``; no nodes without words."""
+    """``doc_id, h, n, s1, s2, sketch, nodes`` of each row of ``docs(doc_id, text)``; no nodes without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [kernel.shingles(t.as_py()) for t in batch.column(1)]
+            sets = [kernel.shingles(t.as_py()) for t in batch.column(2)]
             signatures = np.stack([kernel.signature(s) for s in sets])
             keys = [kernel.set_key(s) for s in sets]
             doc, node = kernel.roots(len(sets), how.trees)
@@ -86,13 +93,13 @@ def describe(docs: DataFrame, how: Join) -> DataFrame:
             filled = np.array([len(s) > 0 for s in sets])[doc]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                    batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                     pa.array([r.tobytes() for r in kernel.sketch(signatures)], pa.binary()), _lists(doc[filled], node[filled], len(sets)),
                 ],
-                names=["doc_id", "n", "s1", "s2", "sketch", "nodes"],
+                names=["doc_id", "h", "n", "s1", "s2", "sketch", "nodes"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, nodes array<long>")
+    return docs.select(*_key(), "text").mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, sketch binary, nodes array<long>")
 
 
 def deeper(texts: DataFrame, how: Join) -> DataFrame:
@@ -143,15 +150,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Join) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``rep, comp``: labels joined along links, ``links(a, b)``, by passing on the least label.
+def _roots_in_one_task(edges: DataFrame) -> DataFrame:
+    """``u, root`` by union-find over a bounded number of edges."""
 
-    Links are first drawn between the components so far, so later rounds work on what is new.
-    """
-    spark = labels.sparkSession
-    old = labels.select(F.col("rep").alias("a"), F.col("comp").alias("u"))
-    ends = links.join(old, "a").join(old.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").where("u <> v").select("u", "v")
-    edges = written(ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "component-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = find(u), find(v)
+                parent[max(a, b)] = min(a, b)
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([find(x) for x in parent], pa.int64())], names=["u", "root"])
+
+    return written(edges.coalesce(1).mapInArrow(run, "u long, root long"), "component-roots")
+
+
+def _roots_in_tables(edges: DataFrame) -> DataFrame:
+    """``u, root`` by passing on the least label along edges and over labels, until none changes."""
+    edges = written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "component-links")
     roots = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")), "component-roots")
     while True:
         to = roots.select(F.col("u").alias("v"), F.col("root").alias("far"))
@@ -164,10 +187,23 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         roots = moved.select("u", "root")
         roots._sieveworks_path = moved._sieveworks_path
         if not changed:
-            break
+            discard(edges)
+            return roots
+
+
+def components(labels: DataFrame, links: DataFrame, how: Join) -> DataFrame:
+    """``rep, comp``: labels joined along ``links(a, b)``; links inside a component so far add nothing."""
+    old = labels.select(F.col("rep").alias("a"), F.col("comp").alias("u"))
+    ends = links.join(old, "a").join(old.select(F.col("a").alias("b"), F.col("u").alias("v")), "b").where("u <> v")
+    edges = written(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "component-edges")
+    few = edges.limit(how.one_task + 1).count()
+    if not few:
+        discard(edges)
+        return labels
+    roots = _roots_in_one_task(edges) if few <= how.one_task else _roots_in_tables(edges)
     out = written(labels.join(roots.select(F.col("u").alias("comp"), "root"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "labels")
     discard(roots, edges, labels)
-    _clean(spark)
+    _clean(labels.sparkSession)
     return out
 
 
@@ -191,10 +227,9 @@ class _Search:
             ordered = ordered.join(self.tried, ["a", "b"], "left_anti")
         new = written(ordered, "pairs")
         self.tried = new if self.tried is None else self.tried.unionByName(new)
-        close = written(_agree(new, self.sketches, self.how), "close-pairs")
-        links = written(_confirmed(close, self.texts, self.how), "links")
-        self.labels = components(self.labels, links)
-        discard(close)
+        links = written(_confirmed(_agree(new, self.sketches, self.how), self.texts, self.how), "links")
+        self.labels = components(self.labels, links, self.how)
+        discard(links)
 
     def open(self, nodes: DataFrame) -> DataFrame:
         """``node, rep, n, comp`` of the nodes whose members are not one component."""
@@ -203,9 +238,16 @@ class _Search:
         return written(named.join(split, "node", "left_semi").select("node", "rep", "n", "comp"), "open-nodes")
 
     def with_leaders(self, nodes: DataFrame) -> None:
-        lead = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("lead"))
-        pairs = nodes.join(lead, "node").select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")).where("a <> b")
-        self.compare(pairs)
+        """Compare each node's members with its leader, unless they are in one component already."""
+        named = nodes.select("node", "rep").join(self.labels, "rep")
+        lead = named.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "comp")).alias("lead"))
+        pairs = named.join(lead, "node").where(F.col("comp") != F.col("lead.comp"))
+        self.compare(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")))
+
+    def parted(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Dense nodes, where one component has half of the members or more, and the others."""
+        main = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("2 * k >= n").select("node").distinct()
+        return written(nodes.join(main, "node", "left_semi"), "dense-nodes"), written(nodes.join(main, "node", "left_anti"), "loose-nodes")
 
     def exhaustively(self, nodes: DataFrame) -> None:
         left = nodes.select("node", F.col("rep").alias("a"), F.col("comp").alias("ca"))
@@ -240,16 +282,16 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
+def _linked(docs: DataFrame, how: Join) -> DataFrame:
+    """``doc_id, h, n, component_id``; ``h`` tells texts with the same id apart."""
     spark = docs.sparkSession
     rows = written(describe(docs, how), "described")
     known = rows.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(known.groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "sketch", "nodes")).alias("m"), F.count("*").alias("copies")).select("s1", "s2", F.col("m.doc_id").alias("rep"), "m.sketch", "m.nodes", "copies"), "classes")
+    one = F.min(F.struct("doc_id", "h", "sketch", "nodes")).alias("m")
+    classes = written(known.groupBy("s1", "s2", "n").agg(one, F.count("*").alias("copies")).select(F.col("s1").alias("rep"), "s2", "m.*", "copies"), "classes")
     nodes = _shared(classes.select(F.explode(F.array_distinct("nodes")).alias("node"), "rep"))
-    involved = written(nodes.select("rep").distinct(), "involved")
-    of_rep = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(involved, "rep", "left_semi")
-    texts = written(of_rep.groupBy("rep").agg(F.max("text").alias("text")), "texts")
+    involved = written(classes.select("rep", "doc_id", "h").join(nodes.select("rep").distinct(), "rep", "left_semi"), "involved")
+    texts = written(docs.select(*_key(), "text").join(involved, ["doc_id", "h"]).groupBy("rep").agg(F.max("text").alias("text")), "texts")
     sketches = written(classes.select("rep", "sketch").join(involved, "rep", "left_semi"), "sketches")
     _clean(spark)
     search, depth = _Search(sketches, texts, how), how.first
@@ -258,24 +300,37 @@ def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
         unsolved = search.open(nodes)
         discard(nodes)
         search.exhaustively(unsolved.where(F.col("n") <= how.small))
-        large = unsolved.where(F.col("n") > how.small)
+        large = search.open(unsolved.where(F.col("n") > how.small).drop("comp"))
         if not large.limit(1).count():
             break
         if depth >= how.depth:
-            search.dense(search.open(large.drop("comp")))
+            search.dense(large)
             break
-        lists = large.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
+        dense, loose = search.parted(large)
+        search.dense(dense)
+        if not loose.limit(1).count():
+            break
+        lists = loose.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
         nodes = _shared(deeper(texts.join(lists, "rep"), how))
         depth += how.step
-    named = classes.join(search.labels, "rep", "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"), "rep", "copies")
-    joined = written(named.where("comp <> rep OR copies > 1").select("s1", "s2", "comp"), "joined-classes")
-    out = rows.select("doc_id", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
-    comp = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(search.labels, "rep", "left").select(F.col("rep").alias("s1"), "s2", F.coalesce("comp", "rep").alias("comp"), "doc_id", "copies")
+    least = named.groupBy("comp").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
+    joined = written(named.join(least, "comp").select("s1", "s2", "component"), "joined-classes")
+    out = rows.select("doc_id", "h", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
+    linked = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "h", "n", linked.alias("component_id"))
+
+
+def link(docs: DataFrame, how: Join = Join()) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``."""
+    out = _linked(docs, how).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """The rows of ``docs`` that :func:`link` keeps, all columns unchanged."""
-    gone = written(link(docs.select("doc_id", "text"), how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    gone = _linked(docs.select("doc_id", "text"), how).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("h").alias("_text")).distinct()
+    gone = written(gone, "near-copies")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return docs.select(whole).join(gone, F.col("_row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("_row.*")
+    same = (F.col("_row.doc_id").cast("long") == F.col("_gone")) & (F.col("_h") == F.col("_text"))
+    return docs.select(whole, F.xxhash64("text").alias("_h")).join(gone, same, "left_anti").select("_row.*")

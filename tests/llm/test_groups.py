@@ -51,7 +51,7 @@ def families(rng, sizes):
     return docs
 
 
-@pytest.mark.parametrize("how", [Join(), Join(small=4, depth=5, leaders=2)], ids=["usual", "dense nodes"])
+@pytest.mark.parametrize("how", [Join(), Join(small=4, depth=5, leaders=2, one_task=0)], ids=["usual", "dense nodes, labels in tables"])
 def test_components_match_brute_force(spark, how):
     rng = random.Random(9)
     docs = families(rng, [1] * 30 + [2] * 10 + [6] * 4 + [40])
