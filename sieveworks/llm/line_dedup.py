@@ -6,10 +6,11 @@ same place.  Fingerprints seen at one place only cannot lie in a repeated run an
 the others the match is extended: the windows to the left and right that the fingerprint stands for
 are compared in full (by two 64-bit hashes over their lines) with the first place in the corpus
 where the same window occurs.  Windows that are not that first place are repeats; consecutive ones make
-a run, and all its lines are deleted.  This deletes exactly the lines that lie in ``window``
+a run, and all its lines are deleted.  Apart from long lines, this deletes exactly the lines that lie in ``window``
 consecutive lines found earlier, in the order of document id (then text) and line.
 
-A line of at least ``long_words`` words is a run of its own: its window is the line.
+A line of at least ``long_words`` words is a run of its own: its window is the line.  Such a match is
+extended both ways by the lines next to it that equal those next to its first place.
 
 No pairs of places are made: each window is compared with one first place, found by an aggregate that is
 combined before its shuffle.  The joins back are plain shuffles, split by AQE where one passage has
@@ -45,7 +46,8 @@ def _key() -> list[Column]:
 
 
 def windows(docs: DataFrame, how: Winnow) -> DataFrame:
-    """``_id, _h, _print, _place, _w1, _w2, _at``: each window, its fingerprint (and minus its line) and the numbers of its lines."""
+    """``_id, _h, _print, _place, _w1, _w2, _at, _left, _right``: each window, its fingerprint (and minus
+    its line), the numbers of its lines and, for a long line, the lines next to it."""
     word = "[^\\x20\\x09-\\x0D]"
     numbered = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(x.alias("line"), i.alias("at")))
     worded = F.filter(numbered, lambda x: x["line"].rlike(word))
@@ -65,12 +67,20 @@ def windows(docs: DataFrame, how: Winnow) -> DataFrame:
             F.xxhash64(*[c["a"] for c in cut]).alias("_w1"),
             F.xxhash64(*[c["b"] for c in cut]).alias("_w2"),
             F.array(*[c["at"] for c in cut]).alias("_at"),
+            F.lit(None).cast("struct<a:bigint,b:bigint,at:int>").alias("_left"),
+            F.lit(None).cast("struct<a:bigint,b:bigint,at:int>").alias("_right"),
         )
 
+    def beside(x: Column) -> Column:
+        return F.when(x.isNotNull(), F.struct(x["a"].alias("a"), x["b"].alias("b"), x["at"].alias("at")))
+
     def both(ls: Column) -> Column:
         inner = F.transform(F.slice(ls, 1, F.greatest(F.size(ls) - (how.window - 1), F.lit(0))), lambda _, i: window(ls, i))
-        alone = F.transform(F.filter(ls, lambda x: x["long"]), lambda x: F.struct(x["a"].alias("_print"), (-x["at"]).alias("_place"), x["a"].alias("_w1"), x["b"].alias("_w2"), F.array(x["at"]).alias("_at")))
-        return F.concat(inner, alone)
+        alone = F.transform(ls, lambda x, i: F.when(x["long"], F.struct(
+            x["a"].alias("_print"), (-x["at"]).alias("_place"), x["a"].alias("_w1"), x["b"].alias("_w2"), F.array(x["at"]).alias("_at"),
+            beside(F.get(ls, i - 1)).alias("_left"), beside(F.get(ls, i + 1)).alias("_right"),
+        )))
+        return F.concat(inner, F.array_compact(alone))
 
     return docs.select(*_key(), F.explode(let(hashed, both)).alias("_w")).select("_id", "_h", "_w.*")
 
@@ -82,10 +92,15 @@ def repeated_lines(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     prints = all_windows.groupBy("_print").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     prints = written(prints.where("least <> most").select("_print"), "line-fingerprints")
     places = all_windows.join(prints, "_print", "left_semi")
-    first = places.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_h", "_at")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = places.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_h", "_at", "_left", "_right")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = written(first, "first-windows")
-    later = all_windows.join(first, ["_w1", "_w2"]).where(F.struct("_id", "_h", "_at") != F.col("_first"))
-    lines = later.groupBy("_id", "_h").agg(F.collect_list("_at").alias("_ats"))
+    later = all_windows.join(first, ["_w1", "_w2"]).where(F.struct("_id", "_h", "_at") != F.struct("_first._id", "_first._h", "_first._at"))
+
+    def extended(side: str) -> Column:
+        same = (F.col(f"{side}.a") == F.col(f"_first.{side}.a")) & (F.col(f"{side}.b") == F.col(f"_first.{side}.b"))
+        return F.when(same, F.array(F.col(f"{side}.at"))).otherwise(F.array().cast("array<int>"))
+
+    lines = later.groupBy("_id", "_h").agg(F.collect_list(F.concat("_at", extended("_left"), extended("_right"))).alias("_ats"))
     return lines.select("_id", "_h", F.array_sort(F.array_distinct(F.flatten("_ats"))).alias("removed"))
 
 

@@ -24,11 +24,11 @@ OP1_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, ls[pos + 1] AS line, pos FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM d)),
 worded AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-run AS (SELECT doc_id, line, pos, {_LEAD} FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-win AS (SELECT doc_id, [{_LINES}] AS lines, [{_ATS}] AS ats FROM run WHERE l{HOW.window - 1} IS NOT NULL
-    UNION ALL SELECT doc_id, [line], [pos] FROM worded WHERE len(list_filter(regexp_split_to_array(line, '{_SPACE}+'), lambda x: x <> '')) >= {HOW.long_words}),
-ranked AS (SELECT doc_id, ats, row_number() OVER (PARTITION BY lines ORDER BY doc_id, ats) AS n FROM win),
-gone AS (SELECT DISTINCT doc_id, unnest(ats) AS pos FROM ranked WHERE n > 1),
+run AS (SELECT doc_id, line, pos, {_LEAD}, lag(line) OVER w AS ll, lag(pos) OVER w AS lp, lead(line) OVER w AS rl, lead(pos) OVER w AS rp FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+win AS (SELECT doc_id, [{_LINES}] AS lines, [{_ATS}] AS ats, NULL AS ll, NULL AS lp, NULL AS rl, NULL AS rp FROM run WHERE l{HOW.window - 1} IS NOT NULL
+    UNION ALL SELECT doc_id, [line], [pos], ll, lp, rl, rp FROM run WHERE len(list_filter(regexp_split_to_array(line, '{_SPACE}+'), lambda x: x <> '')) >= {HOW.long_words}),
+ranked AS (SELECT *, row_number() OVER f AS n, first_value(ll) OVER f AS fl, first_value(rl) OVER f AS fr FROM win WINDOW f AS (PARTITION BY lines ORDER BY doc_id, ats)),
+gone AS (SELECT doc_id, unnest(ats) AS pos FROM ranked WHERE n > 1 UNION SELECT doc_id, lp FROM ranked WHERE n > 1 AND ll = fl UNION SELECT doc_id, rp FROM ranked WHERE n > 1 AND rl = fr),
 listed AS (SELECT doc_id, list_sort(list(pos)) AS removed FROM gone GROUP BY doc_id)
 SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed,
     md5(CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10)) END) AS text_md5

@@ -17,17 +17,20 @@ WS = "[\x20\x09-\x0d]+"
 
 def brute_lines(docs, how):
     """Removed lines by comparing windows of worded lines in document order."""
-    seen, out = set(), []
+    seen, out = {}, []
     for i, text in sorted(docs, key=lambda d: d[0]):
         lines = (text or "").split("\n")
         at = [k for k, x in enumerate(lines) if re.search("[^\x20\x09-\x0d]", x)]
-        windows = [at[k : k + how.window] for k in range(len(at) - how.window + 1)]
-        windows += [[k] for k in at if len(lines[k].split()) >= how.long_words]
+        windows = [(at[k : k + how.window], None) for k in range(len(at) - how.window + 1)]
+        windows += [([k], n) for n, k in enumerate(at) if len(lines[k].split()) >= how.long_words]
         gone = set()
-        for w in sorted(windows):
+        for w, n in sorted(windows, key=lambda x: x[0]):
+            beside = {} if n is None else {s: at[n + s] for s in (-1, 1) if 0 <= n + s < len(at)}
+            texts = {s: lines[k] for s, k in beside.items()}
             key = tuple(lines[k] for k in w)
-            gone |= set(w) if key in seen else set()
-            seen.add(key)
+            if key in seen:
+                gone |= set(w) | {k for s, k in beside.items() if seen[key].get(s) == texts[s]}
+            seen.setdefault(key, texts)
         out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if text is not None else None, sorted(gone)))
     return out
 
