@@ -13,8 +13,8 @@ A line of at least ``long_words`` words is a run of its own: its window is the l
 extended both ways by the lines next to it that equal those next to its first place.
 
 No pairs of places are made: each window is compared with one first place, found by an aggregate that is
-combined before its shuffle.  The joins back are plain shuffles, split by AQE where one passage has
-a large share of the places.
+combined before its shuffle.  The joins back are sort-merge joins at every size, as none of their sides
+has a bound; AQE splits them where one passage has a large share of the places.
 
 Defined results: null and empty texts have no lines and stay as they are; lines without a word are never
 deleted; equal texts are one after another, so all but the first lose every run; rows equal in id and
@@ -91,10 +91,10 @@ def repeated_lines(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     place = F.struct("_id", "_h", "_place")
     prints = all_windows.groupBy("_print").agg(F.min(place).alias("least"), F.max(place).alias("most"))
     prints = written(prints.where("least <> most").select("_print"), "line-fingerprints")
-    places = all_windows.join(prints, "_print", "left_semi")
+    places = all_windows.join(prints.hint("merge"), "_print", "left_semi")
     first = places.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_h", "_at", "_left", "_right")).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     first = written(first, "first-windows")
-    later = all_windows.join(first, ["_w1", "_w2"]).where(F.struct("_id", "_h", "_at") != F.struct("_first._id", "_first._h", "_first._at"))
+    later = all_windows.join(first.hint("merge"), ["_w1", "_w2"]).where(F.struct("_id", "_h", "_at") != F.struct("_first._id", "_first._h", "_first._at"))
 
     def extended(side: str) -> Column:
         same = (F.col(f"{side}.a") == F.col(f"_first.{side}.a")) & (F.col(f"{side}.b") == F.col(f"_first.{side}.b"))
@@ -107,7 +107,7 @@ def repeated_lines(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
 def dedup_lines(docs: DataFrame, how: Winnow = Winnow()) -> DataFrame:
     """``doc_id, text, n_lines, removed`` for each row of ``docs(doc_id, text)``; ``text`` is what stays."""
     removed = written(repeated_lines(docs, how), "repeated-lines")
-    rows = docs.select("doc_id", "text", *_key()).join(removed, ["_id", "_h"], "left")
+    rows = docs.select("doc_id", "text", *_key()).join(removed.hint("merge"), ["_id", "_h"], "left")
 
     def stay(r: Column) -> Column:
         """Lines between deleted ones, by slices: removed is sorted."""
