@@ -116,4 +116,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Seeds = Seeds()) -> D
     """The rows of ``docs`` that hold no benchmark item, all columns unchanged."""
     held = written(overlaps(docs.select("doc_id", "text"), benchmark, how).select("_id", "_h"), "contaminated")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    return docs.select(whole, *_keyed(docs)).join(held, ["_id", "_h"], "left_anti").select("_row.*")
+    return docs.select(whole, *_keyed(docs)).join(held.hint("merge"), ["_id", "_h"], "left_anti").select("_row.*")

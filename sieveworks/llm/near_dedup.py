@@ -333,4 +333,4 @@ def keep_one(docs: DataFrame, how: Join = Join()) -> DataFrame:
     gone = written(gone, "near-copies")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     same = (F.col("_row.doc_id").cast("long") == F.col("_gone")) & (F.col("_h") == F.col("_text"))
-    return docs.select(whole, F.xxhash64("text").alias("_h")).join(gone, same, "left_anti").select("_row.*")
+    return docs.select(whole, F.xxhash64("text").alias("_h")).join(gone.hint("merge"), same, "left_anti").select("_row.*")
