@@ -103,3 +103,36 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def joining_links(names: list[int], components: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as few as join what the similar pairs join.
+
+    Intersections of all pairs come from the product of the incidence matrix with itself, taken over
+    4096 distinct shingles at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    known, column = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, len(known), 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        both += part @ part.T
+    either = sizes[:, None] + sizes[None, :] - both
+    first, second = np.nonzero(np.triu(100 * both >= percent * either, 1) & (both > 0))
+    parent = {c: c for c in components}
+    out = []
+    for i, j in zip(first.tolist(), second.tolist()):
+        u, v = components[i], components[j]
+        while parent[u] != u:
+            u = parent[u]
+        while parent[v] != v:
+            v = parent[v]
+        if u != v:
+            parent[v] = u
+            out.append((names[i], names[j]))
+    return out

@@ -7,8 +7,8 @@ that meet at a node are likely to be similar.
 
 * A node is first compared with one leader, the member of least hashed id; found links join classes
   into components.  A node whose members are one component needs no further comparison.
-* What is left of a node of at most ``small`` members is compared exhaustively, pairs of different
-  components only.
+* What is left of a node of at most ``small`` members is compared exhaustively on full sets, all at once
+  in one matrix product; only links that join components come out.
 * A larger node without a main component goes ``step`` levels deeper, where unrelated members part, down
   to ``depth``.
 * A larger node with a component of half its members, or at full depth, is dense.  Some of its members
@@ -16,8 +16,8 @@ that meet at a node are likely to be similar.
   each has been or all are one component.  So no pair that meets at such a node is skipped, and
   no group is collected anywhere.
 
-Candidate pairs pass a sketch (64 bytes each; a similarity of ``percent`` falls below its threshold once in
-a million) and are then confirmed on full sets.  Links between components so far are joined in one task
+Pairs with a leader pass a sketch (64 bytes each; a similarity of ``percent`` falls below its threshold once
+in a million) and are then confirmed on full sets.  Links between components so far are joined in one task
 while there are at most ``one_task`` of them, and beyond by passing on the least label, in tables.  Every round is written to the shared folder, so lost executors cost one round at most.
 
 The recall of a pair at the threshold similarity is at least 1 - (1 - s**first)**trees.
@@ -49,7 +49,7 @@ class Join:
     step: int = 2
     depth: int = 11
     branch: float = 0.3
-    small: int = 24
+    small: int = 256
     leaders: int = 4
     one_task: int = 500_000
 
@@ -250,9 +250,22 @@ class _Search:
         return written(nodes.join(main, "node", "left_semi"), "dense-nodes"), written(nodes.join(main, "node", "left_anti"), "loose-nodes")
 
     def exhaustively(self, nodes: DataFrame) -> None:
-        left = nodes.select("node", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-        right = nodes.select("node", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-        self.compare(left.join(right, "node").where("a < b AND ca <> cb").select("a", "b"))
+        """Compare all members of ``nodes(node, rep, n, comp)``; a node is one row of at most ``small`` texts."""
+        percent = self.how.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for members in batch.column(0):
+                    rows = members.as_py()
+                    found += kernel.joining_links([r["rep"] for r in rows], [r["comp"] for r in rows], [kernel.shingles(r["text"]) for r in rows], percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+        whole = nodes.join(self.texts, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("members"))
+        links = written(whole.select("members").mapInArrow(run, "a long, b long").distinct(), "links")
+        self.labels = components(self.labels, links, self.how)
+        discard(links)
 
     def dense(self, nodes: DataFrame) -> None:
         """``nodes(node, rep, n, comp)``: large nodes at full depth."""
@@ -263,11 +276,12 @@ class _Search:
             rest = nodes.join(main, "node").where("comp <> main").select("node", "rep")
             if used is not None:
                 rest = rest.join(used, ["node", "rep"], "left_anti")
-            rest = rest.withColumn("h", F.xxhash64("rep", "node"))
+            rest = rest.withColumn("h", F.xxhash64("rep"))
             chosen = written(rest.selectExpr("node", "rep", "row_number() OVER (PARTITION BY node ORDER BY h, rep) AS k").where(F.col("k") <= count).select("node", "rep"), "node-leaders")
             if not chosen.limit(1).count():
                 return
-            self.compare(nodes.select("node", F.col("rep").alias("a")).join(chosen.select("node", F.col("rep").alias("b")), "node").where("a <> b").select("a", "b"))
+            lead = nodes.join(chosen, ["node", "rep"]).select("node", F.col("rep").alias("b"), F.col("comp").alias("other"))
+            self.compare(nodes.select("node", F.col("rep").alias("a"), "comp").join(lead, "node").where("comp <> other").select("a", "b"))
             used = chosen if used is None else used.unionByName(chosen)
             nodes = self.open(nodes.drop("comp"))
             count *= 4
