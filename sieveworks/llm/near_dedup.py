@@ -11,10 +11,10 @@ that meet at a node are likely to be similar.
   in one matrix product; only links that join components come out.
 * A larger node without a main component goes ``step`` levels deeper, where unrelated members part, down
   to ``depth``.
-* A larger node with a component of half its members, or at full depth, is dense.  Some of its members
-  that are not in the main component are compared with all members, more of them each time, until
-  each has been or all are one component.  So no pair that meets at such a node is skipped, and
-  no group is collected anywhere.
+* A larger node with a component of half its members, or at full depth, is dense.  First a few more leaders
+  are compared with it.  Then the members outside its main component are the queries: they and all members
+  are cut into blocks of about ``small``, and each block of queries meets each block of members in one
+  matrix product.  So no pair that meets at such a node is skipped, and no group is collected anywhere.
 
 Pairs with a leader pass a sketch (64 bytes each; a similarity of ``percent`` falls below its threshold once
 in a million) and are then confirmed on full sets.  Links between components so far are joined in one task
@@ -251,40 +251,54 @@ class _Search:
 
     def exhaustively(self, nodes: DataFrame) -> None:
         """Compare all members of ``nodes(node, rep, n, comp)``; a node is one row of at most ``small`` texts."""
+        self._compare_groups(nodes.join(self.texts, "rep"), ["node"])
+
+    def _compare_groups(self, members: DataFrame, keys: list[str]) -> None:
+        """Compare the ``members(rep, comp, text)`` of each group with each other, by matrix products."""
         percent = self.how.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for members in batch.column(0):
-                    rows = members.as_py()
+                for group in batch.column(0):
+                    rows = group.as_py()
                     found += kernel.joining_links([r["rep"] for r in rows], [r["comp"] for r in rows], [kernel.shingles(r["text"]) for r in rows], percent)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-        whole = nodes.join(self.texts, "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "text")).alias("members"))
-        links = written(whole.select("members").mapInArrow(run, "a long, b long").distinct(), "links")
+        groups = members.groupBy(*keys).agg(F.collect_set(F.struct("rep", "comp", "text")).alias("members"))
+        links = written(groups.select("members").mapInArrow(run, "a long, b long").distinct(), "links")
         self.labels = components(self.labels, links, self.how)
         discard(links)
 
+    @staticmethod
+    def _outside(nodes: DataFrame) -> DataFrame:
+        """The members that are not in their node's main component."""
+        sizes = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
+        main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m")).select("node", F.col("m.comp").alias("main"))
+        return nodes.join(main, "node").where("comp <> main").select("node", "rep", "comp")
+
     def dense(self, nodes: DataFrame) -> None:
-        """``nodes(node, rep, n, comp)``: large nodes at full depth."""
-        count, used = self.how.leaders, None
-        while nodes.limit(1).count():
-            sizes = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
-            main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m")).select("node", F.col("m.comp").alias("main"))
-            rest = nodes.join(main, "node").where("comp <> main").select("node", "rep")
-            if used is not None:
-                rest = rest.join(used, ["node", "rep"], "left_anti")
-            rest = rest.withColumn("h", F.xxhash64("rep"))
-            chosen = written(rest.selectExpr("node", "rep", "row_number() OVER (PARTITION BY node ORDER BY h, rep) AS k").where(F.col("k") <= count).select("node", "rep"), "node-leaders")
-            if not chosen.limit(1).count():
-                return
-            lead = nodes.join(chosen, ["node", "rep"]).select("node", F.col("rep").alias("b"), F.col("comp").alias("other"))
-            self.compare(nodes.select("node", F.col("rep").alias("a"), "comp").join(lead, "node").where("comp <> other").select("a", "b"))
-            used = chosen if used is None else used.unionByName(chosen)
-            nodes = self.open(nodes.drop("comp"))
-            count *= 4
+        """``nodes(node, rep, n, comp)``: large nodes with a main component or at full depth."""
+        ranked = self._outside(nodes).withColumn("h", F.xxhash64("rep")).selectExpr("node", "rep", "comp", "row_number() OVER (PARTITION BY node ORDER BY h, rep) AS k")
+        chosen = written(ranked.where(F.col("k") <= self.how.leaders).select("node", F.col("rep").alias("b"), F.col("comp").alias("other")), "node-leaders")
+        self.compare(nodes.select("node", F.col("rep").alias("a"), "comp").join(chosen, "node").where("comp <> other").select("a", "b"))
+        nodes = self.open(nodes.drop("comp"))
+        queries = written(self._outside(nodes), "node-queries")
+        if not queries.limit(1).count():
+            return
+        size = self.how.small
+        counts = queries.groupBy("node").agg(F.ceil(F.count("*") / size).cast("int").alias("q_blocks")).join(nodes.groupBy("node").agg(F.ceil(F.count("*") / size).cast("int").alias("m_blocks")), "node")
+        counts = written(counts, "node-blocks")
+
+        def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
+            block = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int")
+            each = rows.select("node", "rep", "comp").join(counts, "node").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            return each.select("node", "rep", "comp", "own", "other")
+
+        asked = spread(queries, "q_blocks", "m_blocks").select("node", F.col("own").alias("q"), F.col("other").alias("m"), "rep", "comp")
+        there = spread(nodes, "m_blocks", "q_blocks").select("node", F.col("other").alias("q"), F.col("own").alias("m"), "rep", "comp")
+        self._compare_groups(asked.unionByName(there).join(self.texts, "rep"), ["node", "q", "m"])
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
