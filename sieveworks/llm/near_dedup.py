@@ -18,7 +18,7 @@ that meet at a node are likely to be similar.
 
 Pairs with a leader pass a sketch (64 bytes each; a similarity of ``percent`` falls below its threshold once
 in a million) and are then confirmed on full sets.  Links between components so far are joined in one task
-while there are at most ``one_task`` of them, and beyond by passing on the least label, in tables.  Every round is written to the shared folder, so lost executors cost one round at most.
+while there are at most ``one_task`` of them, and beyond by passing on the least label, in tables.  Texts are joined by sort-merge at every size.  Every round is written to the shared folder, so lost executors cost one round at most.
 
 The recall of a pair at the threshold similarity is at least 1 - (1 - s**first)**trees.
 
@@ -147,7 +147,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, how: Join) -> DataFrame:
 
     one = texts.select(F.col("rep").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("rep").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _roots_in_one_task(edges: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ class _Search:
 
     def exhaustively(self, nodes: DataFrame) -> None:
         """Compare all members of ``nodes(node, rep, n, comp)``; a node is one row of at most ``small`` texts."""
-        self._compare_groups(nodes.join(self.texts, "rep"), ["node"])
+        self._compare_groups(nodes.join(self.texts.hint("merge"), "rep"), ["node"])
 
     def _compare_groups(self, members: DataFrame, keys: list[str]) -> None:
         """Compare the ``members(rep, comp, text)`` of each group with each other, by matrix products."""
@@ -298,7 +298,7 @@ class _Search:
 
         asked = spread(queries, "q_blocks", "m_blocks").select("node", F.col("own").alias("q"), F.col("other").alias("m"), "rep", "comp")
         there = spread(nodes, "m_blocks", "q_blocks").select("node", F.col("other").alias("q"), F.col("own").alias("m"), "rep", "comp")
-        self._compare_groups(asked.unionByName(there).join(self.texts, "rep"), ["node", "q", "m"])
+        self._compare_groups(asked.unionByName(there).join(self.texts.hint("merge"), "rep"), ["node", "q", "m"])
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def _linked(docs: DataFrame, how: Join) -> DataFrame:
     classes = written(known.groupBy("s1", "s2", "n").agg(one, F.count("*").alias("copies")).select(F.col("s1").alias("rep"), "s2", "m.*", "copies"), "classes")
     nodes = _shared(classes.select(F.explode(F.array_distinct("nodes")).alias("node"), "rep"))
     involved = written(classes.select("rep", "doc_id", "h").join(nodes.select("rep").distinct(), "rep", "left_semi"), "involved")
-    texts = written(docs.select(*_key(), "text").join(involved, ["doc_id", "h"]).groupBy("rep").agg(F.max("text").alias("text")), "texts")
+    texts = written(docs.select(*_key(), "text").join(involved.hint("merge"), ["doc_id", "h"]).groupBy("rep").agg(F.max("text").alias("text")), "texts")
     sketches = written(classes.select("rep", "sketch").join(involved, "rep", "left_semi"), "sketches")
     _clean(spark)
     search, depth = _Search(sketches, texts, how), how.first
