@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 
 from .conftest import prose
+from .test_groups import shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +54,25 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def jaccard(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_from_four_fifths_on(spark):
+    rng = random.Random(13)
+    docs, gone = [], set()
+    for i in range(60):
+        base = prose(rng, 120, 5000).split()
+        changed = list(base)
+        places = (20, 60, 100) if i % 3 == 2 else (20, 60)
+        for k in places:
+            changed[k] = f"n{i}"
+        share = jaccard(" ".join(base), " ".join(changed))
+        assert 0.75 < share < 0.8 if i % 3 == 2 else 0.8 <= share < 0.85
+        gone |= {2 * i + 1} if i % 3 < 2 else set()
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(changed))]
+    kept = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - gone
