@@ -4,8 +4,9 @@ Reputation.  Each labelled page is a Bernoulli outcome (bad or not).  Outcomes a
 host; counts roll up to the registered domain and to the suffix.  At each level a beta-binomial
 model gives the spread of the children around their parent (moment estimate of the intra-class
 correlation), and the child's rate is shrunk to the parent's posterior mean with that strength:
-suffix to the overall rate, domain to its suffix, host to its domain.  A host is blocked when the
-lower posterior bound of its bad rate exceeds ``max_bad``.
+suffix to the overall rate, domain to its suffix, host to its domain.  A host without labelled pages
+counts none and takes its domain's posterior.  A host is blocked when the lower posterior bound of its
+bad rate exceeds ``max_bad``.
 
 Defined results: a null url has an empty host and path, takes no rule and is judged like any host
 (the empty one).  Repeated rows give repeated rows; labels that occur more than once count each
@@ -80,13 +81,14 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 
 def host_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per host: ``host, domain, suffix, n, k`` (labelled pages, bad ones).
+    """One row per host of a page: ``host, domain, suffix, n, k`` (labelled pages, bad ones; 0 without labels).
 
     ``pages(page_id, host)``, ``labels(page_id, bad boolean)``.
     """
     known = labels.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull())
-    joined = known.join(pages.where(F.col("page_id").isNotNull()), "page_id")
-    counted = joined.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
+    joined = known.join(pages.where(F.col("page_id").isNotNull()), "page_id").select("host", "bad")
+    every = joined.unionByName(pages.select("host", F.lit(None).cast("boolean").alias("bad")))
+    counted = every.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"))
     return counted.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
 
 
@@ -101,27 +103,32 @@ def _strength(children: DataFrame, mean: Column, how: Reputation) -> Column:
 
 
 def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFrame:
-    """``host, n, k, mean, bound``: posterior mean and lower bound of each labelled host's bad rate.
+    """``host, n, k, mean, bound``: posterior mean and lower bound of each host's bad rate.
+
+    What has no labels takes its parent's posterior mean, and its variance is that of a child of the parent
+    plus the parent's own; where there are no labels at all there is no evidence, and no rows.
 
     Each level's strength is one number; it reaches the driver as one row of an aggregate.
     """
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    overall = F.lit((total["k"] + 1) / (total["n"] + 2))
+    hosts = hosts.where(F.lit(total["n"] > 0))
+    rate = (total["k"] + 1) / (total["n"] + 2)
 
-    def shrunk(counts: DataFrame, parent: Column) -> DataFrame:
+    def shrunk(counts: DataFrame, parent: Column, parent_var: Column) -> DataFrame:
         strength = counts.agg(_strength(counts, parent, how).alias("s")).first()["s"]
         strength = F.lit(float(strength) if strength is not None else 1 / how.min_rho - 1)
-        alpha, size = k + strength * parent, n + strength
-        return counts.withColumn("mean", alpha / size).withColumn("size", size)
+        mean, size = (k + strength * parent) / (n + strength), n + strength
+        var = F.when(n > 0, mean * (1 - mean) / (size + 1)).otherwise((parent * (1 - parent) + strength * parent_var) / (strength + 1))
+        return counts.withColumn("mean", mean).withColumn("var", var)
 
     roll = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    suffixes = shrunk(hosts.groupBy("suffix").agg(*roll), overall).select("suffix", F.col("mean").alias("parent"))
-    domains = shrunk(hosts.groupBy("domain", "suffix").agg(*roll).join(suffixes, "suffix"), F.col("parent")).select("domain", F.col("mean").alias("parent"))
-    out = shrunk(hosts.join(domains, "domain"), F.col("parent"))
-    mean = F.col("mean")
-    bound = mean - how.z * F.sqrt(mean * (1 - mean) / (F.col("size") + 1))
-    return out.select("host", "n", "k", "mean", bound.alias("bound"))
+    handed = [F.col("mean").alias("parent"), F.col("var").alias("parent_var")]
+    above = F.col("parent"), F.col("parent_var")
+    suffixes = shrunk(hosts.groupBy("suffix").agg(*roll), F.lit(rate), F.lit(rate * (1 - rate) / (total["n"] + 3))).select("suffix", *handed)
+    domains = shrunk(hosts.groupBy("domain", "suffix").agg(*roll).join(suffixes, "suffix"), *above).select("domain", *handed)
+    out = shrunk(hosts.join(domains, "domain"), *above)
+    return out.select("host", "n", "k", "mean", (F.col("mean") - how.z * F.sqrt("var")).alias("bound"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], how: Reputation = Reputation()) -> DataFrame:

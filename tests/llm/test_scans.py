@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -86,3 +87,16 @@ def test_url_rules_and_reputation(spark):
     assert all(got[100 + i][3] == "block" for i in range(300)) and all(got[1000 + i][3] == "allow" for i in range(300))
     assert filter_urls(frame, labels.limit(0), rules).where("verdict = 'block'").count() == 1
     assert filter_urls(frame.limit(0), labels, rules, Reputation()).count() == 0
+
+
+def test_hosts_without_labels_take_their_domains_reputation(spark):
+    names = {"new.bad.net": 1, "new.good.net": 1, "other.com": 1, "new.bad.net:8080": 1, "a.org": 1} | {f"{h}{i}.{d}.net": 20 for h in "xy" for i in range(3) for d in ("bad", "good")}
+    pages = [(f"{h}/{j}", f"https://{h}/{j}") for h, n in names.items() for j in range(n)]
+    frame = spark.createDataFrame([*pages, (None, "https://null.bad.net/")], "page_id string, url string")
+    labels = spark.createDataFrame([(i, ".bad." in i) for i, _ in pages if i[0] in "xy"], "page_id string, bad boolean")
+    got = defaultdict(set)
+    for r in filter_urls(frame, labels, []).collect():
+        got[r["host"]].add(r["verdict"])
+    assert got.keys() == names.keys() | {"null.bad.net"}
+    assert all(v == ({"block"} if ".bad." in h else {"allow"}) for h, v in got.items())
+    assert filter_urls(frame, labels.limit(0), []).where("verdict = 'block'").count() == 0
