@@ -5,9 +5,10 @@ cut into blocks of ``block_bytes``.  Block j of a source of weight w is released
 due by ceil((j + 1) / w); slots go to the released block with the earliest deadline.  At every slot the
 blocks given to a source differ from its weight times the slots so far by less than one.
 
-Weights are rounded to whole shares of a ``period``.  At each multiple of the period every source has
-exactly its share, so the schedule repeats: only one period is computed (at most ``period`` rows, a
-proven bound) and each document finds its slot by arithmetic on its block's number.
+Weights are exact fractions, releases and deadlines whole numbers computed from them, and every block that
+exists is scheduled, so the deviation does not grow with the corpus.  One task writes the schedule, a row
+per block, in a stream; it holds a row per source.  Blocks of a source that has run out are not scheduled;
+the windows of the others do not move.
 
 Block numbers need a running sum of bytes inside each source.  A source is cut into ``buckets`` by
 hashed id; sums run inside a bucket, and each bucket starts where the totals of those before it end.
@@ -15,23 +16,32 @@ So a source with a third of all rows is spread over all tasks.
 
 Defined results: nothing is dropped; a source that has run out leaves its slots empty.  A null source is
 a source of its own; a null or empty text counts one byte; equal ids are ordered by their texts, and
-identical rows keep separate places.  Sources beyond the ``max_sources`` largest are mixed as one.
+identical rows keep separate places.  Sources beyond the ``max_sources`` largest, or without a given
+weight, are mixed as one, which takes the least weight of the others and exists only where they do.
 An empty table gives no rows.  Other columns pass through :func:`mixed`.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import written
 
 
 @dataclass(frozen=True)
 class Mix:
-    """``weights``: target share per source; where None, shares follow bytes to the power ``temper``."""
+    """``weights``: target share per source; where None, shares follow bytes to the power ``temper``.
+
+    ``period`` is the length of a schedule in :func:`whole_shares`; the mix itself does not repeat one.
+    """
 
     weights: dict[str, float] | None = None
     temper: float = 0.5
@@ -55,23 +65,54 @@ def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return shares
 
 
-def one_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """``source, block, release, deadline, slot`` over one period, earliest deadline first."""
-    period = sum(shares.values())
-    names = sorted(shares)
-    waiting = [(0, i, 0) for i in range(len(names))]
-    heapq.heapify(waiting)
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The positive weights as whole numbers in exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def schedule(streams: list[tuple[str, int, int]], total: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """``name, block, release, deadline, slot`` of the blocks of ``(name, weight, blocks)``, slots ascending.
+
+    Weights are shares of ``total``.  The earliest deadline goes first; slots without a released block stay empty.
+    """
+    waiting = [(0, i, 0) for i, (_, _, blocks) in enumerate(streams) if blocks]
     ready: list[tuple[int, int, int, int]] = []
-    out = []
-    for slot in range(period):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             release, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[names[i]]), i, j, release))
+            heapq.heappush(ready, (-(-(j + 1) * total // streams[i][1]), i, j, release))
         deadline, i, j, release = heapq.heappop(ready)
-        out.append((names[i], j, release, deadline, slot))
-        if j + 1 < shares[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[names[i]], i, j + 1))
-    return out
+        name, weight, blocks = streams[i]
+        yield name, j, release, deadline, slot
+        slot += 1
+        if j + 1 < blocks:
+            heapq.heappush(waiting, ((j + 1) * total // weight, i, j + 1))
+
+
+def one_period(shares: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """``source, block, release, deadline, slot`` over one period, earliest deadline first."""
+    return list(schedule([(s, shares[s], shares[s]) for s in sorted(shares)], sum(shares.values())))
+
+
+def _slots(spark: SparkSession, weights: dict[str, int], blocks: dict[str, int]) -> DataFrame:
+    """``_stream, _block, _r, _d, _t``: the schedule of ``blocks`` by stream, written by one task."""
+    total = sum(weights.values())
+    streams = [(s, w, blocks[s]) for s, w in sorted(weights.items()) if s in blocks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            rows = schedule(streams, total)
+            while part := list(islice(rows, 65536)):
+                columns = zip(*part)
+                yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["_stream", "_block", "_r", "_d", "_t"])
+
+    one = spark.range(0, 1, 1, 1)
+    return written(one.mapInArrow(run, "_stream string, _block long, _r long, _d long, _t long"), "mix-slots")
 
 
 def _source_key(source: Column) -> Column:
@@ -92,35 +133,32 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source") -> DataF
     rows = docs.select(_source_key(F.col(source)).alias("_source"), bucket.alias("_bucket"), key.alias("_key"), size.alias("_size"), whole)
 
     totals = written(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_total")), "mix-totals")
-    sources = totals.groupBy("_source").agg(F.sum("_total").alias("bytes")).orderBy(F.desc("bytes"), "_source").limit(how.max_sources).collect()
-    sizes = {r["_source"]: r["bytes"] for r in sources}
     if how.weights is None:
-        weights = {s: float(b) ** how.temper for s, b in sizes.items()}
-        rest = min(weights.values(), default=1.0)
+        sources = totals.groupBy("_source").agg(F.sum("_total").alias("bytes")).orderBy(F.desc("bytes"), "_source").limit(how.max_sources).collect()
+        weights = {r["_source"]: float(r["bytes"]) ** how.temper for r in sources}
     else:
-        weights = {f"s:{s}": w for s, w in how.weights.items()}
-        rest = min((w for w in weights.values() if w > 0), default=1.0)
-    single = sorted(weights)
-    period = one_period(whole_shares(weights | {"rest": rest}, how.period))
-    length = len(period)
-    shares: dict[str, int] = {}
-    for s, *_ in period:
-        shares[s] = shares.get(s, 0) + 1
-    template = spark.createDataFrame([(s, j, shares[s], r, d, t) for s, j, r, d, t in period], "_stream string, _in int, _share int, _r int, _d int, _t int")
-    streams = spark.createDataFrame([(s, s, shares[s]) for s in single if s in shares], "_source string, _known string, _share int")
-
-    # bounded by max_sources and period
-    named = totals.join(F.broadcast(streams), "_source", "left").withColumn("_stream", F.coalesce("_known", F.lit("rest"))).withColumn("_share", F.coalesce("_share", F.lit(shares["rest"])))
+        weights = {f"s:{s}": w for s, w in how.weights.items() if w > 0}
+    single = spark.createDataFrame([(s, s) for s in weights], "_source string, _known string")
+
+    # bounded by max_sources
+    named = totals.join(F.broadcast(single), "_source", "left").withColumn("_stream", F.coalesce("_known", F.lit("rest")))
+    blocks = {r["_stream"]: -(-r["bytes"] // how.block_bytes) for r in named.groupBy("_stream").agg(F.sum("_total").alias("bytes")).collect()}
+    if "rest" in blocks:
+        weights["rest"] = min(weights.values(), default=1.0)
+    slots = _slots(spark, exact_weights(weights), blocks)
+
+    # what a bucket needs of the schedule: the blocks from its first byte to its last
     before = Window.partitionBy("_stream").orderBy("_source", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = named.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0).cast("long"))).select("_source", "_bucket", "_stream", "_share", "_base")
+    bases = named.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0).cast("long")))
+    met = F.sequence(F.expr(f"_base div {how.block_bytes}"), F.expr(f"(_base + _total - 1) div {how.block_bytes}"))
+    spans = bases.select("_source", "_bucket", "_stream", "_base", F.explode(met).alias("_block")).join(slots, ["_stream", "_block"])
+    plans = spans.groupBy("_source", "_bucket").agg(F.min("_base").alias("_base"), F.array_sort(F.collect_list(F.struct("_block", "_r", "_d", "_t"))).alias("_plan"))
 
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col("_row.doc_id"), F.col("_row.text"))
     summed = rows.withColumn("_upto", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    placed = summed.join(bases, ["_source", "_bucket"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("_size"))
-    placed = placed.withColumn("_block", F.expr(f"_start div {how.block_bytes}"))
-    placed = placed.withColumn("_in", F.expr("_block % _share").cast("int")).withColumn("_turn", F.expr(f"(_block div _share) * {length}"))
-    due = placed.join(F.broadcast(template.drop("_share")), ["_stream", "_in"])
-    return due.select("_row", "_source", "_start", "_block", (F.col("_turn") + F.col("_r")).alias("_release"), (F.col("_turn") + F.col("_d")).alias("_deadline"), (F.col("_turn") + F.col("_t")).alias("_slot"))
+    placed = summed.join(plans, ["_source", "_bucket"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("_size"))
+    placed = placed.withColumn("_block", F.expr(f"_start div {how.block_bytes}")).withColumn("_at", F.expr("get(_plan, cast(_block - _plan[0]._block AS int))"))
+    return placed.select("_row", "_source", "_start", "_block", F.col("_at._r").alias("_release"), F.col("_at._d").alias("_deadline"), F.col("_at._t").alias("_slot"))
 
 
 def mixed(docs: DataFrame, how: Mix = Mix(), source: str = "source") -> DataFrame:

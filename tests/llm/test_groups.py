@@ -2,13 +2,14 @@
 
 import random
 from collections import defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 from sieveworks.llm import chosen_path as kernel
-from sieveworks.llm.mixing import Mix, mixed, one_period, plan_mix, whole_shares
+from sieveworks.llm.mixing import Mix, exact_weights, mixed, one_period, plan_mix, schedule, whole_shares
 from sieveworks.llm.near_dedup import Join, keep_one, link
 
 from .conftest import prose
@@ -132,3 +133,34 @@ def test_documents_follow_the_schedule(spark, odd_docs, no_docs):
     assert given.count() == 400
     odd = mixed(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count() and mixed(no_docs).count() == 0
+
+
+def test_schedule_keeps_to_the_exact_weights():
+    weights = exact_weights({f"s{i}": (1000.0 + 777 * i * i) ** 0.5 for i in range(20)} | {"nought": 0.0, "tenth": 0.1})
+    total, blocks = sum(weights.values()), 2000
+    given, last = dict.fromkeys(weights, 0), {}
+    assert "nought" not in weights
+    for source, block, release, deadline, slot in schedule([(s, w, blocks) for s, w in weights.items()], total):
+        assert block == given[source] and release == block * total // weights[source] <= slot < deadline == -(-(block + 1) * total // weights[source])
+        given[source] += 1
+        last.setdefault(source, slot) if given[source] == blocks else None
+        if not last:  # no slot is empty and no source a block off, over many periods
+            assert sum(given.values()) == slot + 1 and all(abs(given[s] * total - w * (slot + 1)) < total for s, w in weights.items())
+    assert min(last.values()) > 8 * 1024 and set(given.values()) == {blocks}
+
+
+def test_mix_keeps_to_the_target_weights(spark):
+    sizes = {"a": 2000, "b": 700, "c": 300}
+    docs = [(k, "x" * 10, s) for k, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    roots = {f"s:{s}": Fraction(float(10 * n) ** 0.5) for s, n in sizes.items()}
+    exact = {s: w / sum(roots.values()) for s, w in roots.items()}
+    rows = plan_mix(frame, Mix(block_bytes=10, buckets=8)).orderBy("_slot").collect()
+    assert len(rows) == 3000 and all(r["_release"] == r["_block"] // exact[r["_source"]] and r["_deadline"] == -(-(r["_block"] + 1) // exact[r["_source"]]) for r in rows)
+    given = dict.fromkeys(exact, 0)
+    for slot, r in enumerate(rows):
+        if r["_slot"] >= 300 / exact["s:c"]:  # where the first source runs out
+            break
+        given[r["_source"]] += 1
+        assert r["_slot"] == slot and all(abs(given[s] - w * (slot + 1)) < 1 for s, w in exact.items())
+    assert given["s:c"] >= 299
