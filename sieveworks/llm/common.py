@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: White space that separates words in every contract: space and U+0009..U+000D.
 WS = "[\\x20\\x09-\\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_dir: str | None = None
 _record: list[str] | None = None
 
@@ -20,12 +22,16 @@ _record: list[str] | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the setting is absent, as in tests on one machine, is a temporary folder made.
+    Where the setting is absent a temporary folder is made, but only if driver and executors are one
+    process, as in tests; on a cluster such a folder would be another one on each machine.
     """
     global _own_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="sieveworks-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -51,14 +57,37 @@ def recorded() -> Iterator[list[str]]:
         _record = before
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Delete the tables written inside at the end, but for those passed to the function it yields."""
+    global _record
+    before, _record = _record, []
+    kept: list[str] = []
+    try:
+        yield lambda *tables: kept.extend(t._sieveworks_path for t in tables)
+    finally:
+        made, _record = _record, before
+        for path in made:
+            if path not in kept:
+                remove_path(spark, path)
+            elif before is not None:
+                before.append(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts lineage durably: a lost executor loses nothing that was written.
+    Cuts lineage durably: a lost executor loses nothing that was written.  The shuffle files of the
+    write go when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._sieveworks_path = path
     return out
