@@ -4,10 +4,11 @@ A byte-level tokenizer cuts a text into pre-tokens and each pre-token into piece
 the pieces of each distinct pre-token of the corpus are counted once, that table is joined to the
 pre-token frequencies of each document, and the products are summed.
 
-The join is split by a bound: the ``head`` most frequent pre-tokens of at most ``HEAD_CHARS``
-characters (at most ``head`` rows, so a proven size) travel to every task and are summed where the
-frequencies are made; only the rarer pre-tokens of a document are shuffled to their counts.  The
-result does not depend on ``head``.
+The join is split by a bound: the most frequent pre-tokens of at most ``HEAD_CHARS`` characters, at
+most ``head`` of them, travel to every task and are summed where the frequencies are made; only the
+rarer pre-tokens of a document are shuffled to their counts.  A histogram over steps of the
+frequency (a few hundred rows) says from which frequency on there are no more than ``head``, so the
+driver gets that many rows at most, whatever the partitions.  The result does not depend on ``head``.
 
 Defined results: a null text counts as empty (no bytes, no tokens); rows with equal id and text
 each get their count; a null id is kept; an empty table gives no rows; other columns are not read.
@@ -25,6 +26,8 @@ from .common import written
 from .tokenizing import count_pieces, pre_tokens
 
 HEAD_CHARS = 64
+#: Steps of the frequency histogram for each doubling.
+STEPS = 8
 FLUSH = 200_000
 
 
@@ -60,13 +63,26 @@ _FREQ = "doc_id long, text_key long, n_bytes long, known long, rest array<struct
 _REST = pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int64())]))
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int, head: int = 50_000) -> DataFrame:
+def frequent_pieces(pieces: DataFrame, head: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens: all above some frequency, at most ``head``."""
+    short = pieces.where(F.length("pre_token") <= HEAD_CHARS).withColumn("step", F.floor(F.log2("n") * STEPS))
+    total, least = 0, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > head:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    found = short.where(F.col("step") >= least).select("pre_token", "pieces").toArrow()
+    return dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+
+
+def token_counts(docs: DataFrame, vocabulary: str, limit: int, head: int = 250_000) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
     pieces = written(piece_table(docs, vocabulary), "pre-tokens")
-    frequent = pieces.where(F.length("pre_token") <= HEAD_CHARS).orderBy(F.desc("n"), "pre_token").limit(head)
-    known = {r["pre_token"]: r["pieces"] for r in frequent.collect()}
-    shared = spark.sparkContext.broadcast(known)
+    shared = spark.sparkContext.broadcast(frequent_pieces(pieces, head))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_pieces = shared.value
