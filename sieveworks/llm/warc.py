@@ -194,8 +194,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """One row per page record of the listed files."""
-    listed = files.select("uri").repartition("uri")
+    """One row per page record of the listed files, which are dealt out one to a task."""
+    listed = files.select("uri").repartition(max(1, files.count()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
