@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from sieveworks.functions.globs import glob_pattern
-from sieveworks.functions.redact import REDACTED, mask_patterns, sanitize, sanitize_text
+from sieveworks.functions.redact import REDACTED, mask_patterns, sanitize, sanitize_columns, sanitize_deep, sanitize_text
 from sieveworks.functions.text import ancestors, markdown_escape, name_tokens, parent_path, safe_path, split_lines, without_stop_words
 from sieveworks.operators.search import STOP_WORDS, query_terms
 
@@ -87,6 +87,52 @@ def test_sanitize_masks_and_keeps():
     assert sanitize_text(None) is None and sanitize_text("") == ""
 
 
+MASKED = [
+    f'val apiKey = "{REDACTED}"',
+    f"password: {REDACTED}",
+    f'API_TOKEN: String = "{REDACTED}"',
+    f"https://{REDACTED}@host/x",
+    f"https://h/x?token={REDACTED}",  # an assignment comes first
+    f"Authorization: {REDACTED}",
+    f'buildConfigField("String", "SECRET_NAME", "{REDACTED}")',
+    REDACTED,
+    f'"{REDACTED}"',
+    f"Bearer {REDACTED}",
+    f"id {REDACTED}",
+    f"'{REDACTED}'",
+    f"{REDACTED}\n\n",
+    f'<string name="api_key">{REDACTED}</string>',
+    f"client_secret: {REDACTED}\n\n\n",
+]
+#: Where the value of an assignment ends.
+ENDS = {
+    "token = a\nb = 1": f"token = {REDACTED}\nb = 1",
+    "token = a +\n b\nc": f"token = {REDACTED}\n\nc",
+    "token = a\n  + b\nc": f"token = {REDACTED}\n\nc",
+    "f(token = (a, b), c)": f"f(token = {REDACTED}, c)",
+    "token = a # why": f"token = {REDACTED} # why",
+    "token = 'a;b'; x": f"token = '{REDACTED}'; x",
+    'token = """a\n"b" """\nx': f'token = """{REDACTED}\n"""\nx',
+    "token = abc'd'": f"token = {REDACTED}'d'",
+    "tokenTimeout = 5": "tokenTimeout = 5",
+    "token = 5": f"token = {REDACTED}",
+}
+
+
+def test_sanitize_exactly():
+    assert [sanitize_text(t) for t in SECRETS] == MASKED
+    assert {t: sanitize_text(t) for t in ENDS} == ENDS
+
+
+def test_sanitize_deep(spark):
+    nested = {"a": ["token=abcdef", 1, None, {"b": "password: x1"}], "token=k": True}
+    assert sanitize_deep(nested) == {"a": [f"token={REDACTED}", 1, None, {"b": f"password: {REDACTED}"}], "token=k": True}
+    rows = spark.createDataFrame([(1, "token=abcdef", ["password: x1", None], {"k": ("Bearer abc", 2)}), (2, None, None, None)], "i int, t string, l array<string>, m map<string,struct<s:string,n:int>>")
+    got = sanitize_columns(rows).orderBy("i").collect()
+    assert got[0].asDict(True) == {"i": 1, "t": f"token={REDACTED}", "l": [f"password: {REDACTED}", None], "m": {"k": {"s": f"Bearer {REDACTED}", "n": 2}}}
+    assert tuple(got[1]) == (2, None, None, None)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="tokenSECRET=:\"'(){}\n ,;+#x1", max_size=60))
 def test_sanitize_keeps_lines(text):
