@@ -82,23 +82,16 @@ def project_dependencies(text: str) -> list[str]:
     return sorted(found)
 
 
+#: Include calls: in brackets over any lines; or a row with the word that is no comment, and the rows after it
+#: that begin with a quote or colon, as long as each but the last ends with a comma.
+_IN_BRACKETS = re.compile(r"include\s*\(([^)]*)\)")
+_IN_ROWS = re.compile(r"""(?m)^[^\S\n]*(?!//|\#|\s)(?=.*include).*(?:\n[^\S\n]*["':].*,[^\S\n]*$)*(?:\n[^\S\n]*["':].*)?""")
+
+
 def included_modules(text: str) -> list[str]:
-    """Quoted ``:module`` paths of include calls: in brackets over any lines, or bare with lines that go on."""
-    quoted = [v for inside in re.findall(r"include\s*\(([^)]*)\)", text) for v in _QUOTED.findall(inside)]
-    rows = [row.strip() for row in text.splitlines()]
-    at = 0
-    while at < len(rows):
-        row, at = rows[at], at + 1
-        if "include" not in row or row.startswith(("//", "#")):
-            continue
-        taken = [row]
-        while at < len(rows) and rows[at].startswith(("'", '"', ":")):
-            taken.append(rows[at])
-            at += 1
-            if not taken[-1].endswith(","):
-                break
-        quoted += _QUOTED.findall("\n".join(taken))
-    return sorted({v for v in quoted if v.startswith(":")})
+    """Quoted ``:module`` paths of include calls."""
+    calls = _IN_BRACKETS.findall(text) + _IN_ROWS.findall(text)
+    return sorted({path for call in calls for path in _QUOTED.findall(call) if path.startswith(":")})
 
 
 def script_facts(text: str) -> list[Fact]:
