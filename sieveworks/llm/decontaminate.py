@@ -1,16 +1,21 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of characters other than white space and the marks of :data:`SPLIT`, lower-cased.  A mask says
-which of the words after a position count; the hash of those words is a seed, which survives
-substitutions at the ignored places.  Seeds of the corpus are joined to those of the benchmark; a hit
-fixes an alignment of a document and an item.  Around each alignment the words are compared one by
-one: a match scores 1, a mismatch -4, and a run starts anew when its score falls below 0, so a run is
-at least four fifths equal.  The document holds the item when a run has ``min_overlap`` equal words,
-or all the item's words if it has fewer.
+Words are runs of characters other than white space and the marks of :data:`SPLIT`, lower-cased, and are
+compared by 64-bit hashes.  A mask says which of the words after a position count; the hash of those words
+is a seed, which survives substitutions at the ignored places.  Seeds of the corpus are joined to those
+of the benchmark; a hit fixes an alignment of a document and an item.  Around each alignment the words are
+compared one by one: a match scores 1, a mismatch -4, and a run starts anew when its score falls below 0, so a
+run is at least four fifths equal.  The document holds the item when a run has ``min_overlap`` equal
+words, or all the item's words if it has fewer.
+
+The default masks miss nothing that this rule accepts: a run of 13 equal words holds at most three
+mismatches, there are 80 ways to place them, and each leaves all counted places of one of the two masks equal
+(the tests go through them).  Items of fewer than ``min_overlap`` words must match in every word, so their
+seed is the hash of all of them; the corpus is asked for windows of the lengths that such items have.
 
 The benchmark's seeds are broadcast only while there are at most ``broadcast_seeds`` of them; beyond,
-the join is a shuffle.  Items with equal words are compared once.  Items shorter than the masks have
-no seeds and are not searched for.
+the join is a shuffle.  Items with equal words are compared once.  Only the words beside an item, cut
+out of a document where the hit is found, go on to the comparison, and each alignment is one row.
 
 Defined results: a null or empty text or item has no words and holds nothing; documents with equal id
 and text are one case and repeated rows give repeated rows; a null id is kept; an empty table gives no
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let, written
+from .common import written
 
 SPLIT = "[\\x20\\x09-\\x0D.,;:!?\"()|]+"
 MISMATCH = 4
@@ -32,7 +37,7 @@ MISMATCH = 4
 
 @dataclass(frozen=True)
 class Seeds:
-    masks: tuple[str, ...] = ("1110110011", "1101011101")
+    masks: tuple[str, ...] = ("111101011001", "1111011000101")
     min_overlap: int = 13
     broadcast_seeds: int = 1_000_000
 
@@ -41,27 +46,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
 
 
-def _seed_arrays(hashes: Column, how: Seeds) -> Column:
-    """For each mask, seed of each position (null where the mask does not fit), masks after another."""
+def _hashed(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
 
-    def one(number: int, mask: str):
-        places = [i for i, c in enumerate(mask) if c == "1"]
 
-        def seed(x: Column, i: Column) -> Column:
-            taken = [x if p == 0 else F.get(hashes, i + p) for p in places]
-            return F.xxhash64(F.lit(number), *taken)
+def seeds_of(rows: DataFrame, how: Seeds, lengths: list[int]) -> DataFrame:
+    """``rows`` with an array ``_w`` of word hashes, once for each ``_pos`` and ``_seed`` of the masks
+    and of windows of the ``lengths``.
 
-        return F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - (len(mask) - 1), F.lit(0))), seed)
+    Positions are generated and hashed inside one generated loop, so the array is not copied.
+    """
+    at = F.col("_pos")
+    rows = rows.where(F.size("_w") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("_w") - 1)).alias("_pos"))
 
-    return F.array(*[one(n, m) for n, m in enumerate(how.masks)])
+    def seed(number: int, places: list[int], span: int) -> Column:
+        return F.when(at + span <= F.size("_w"), F.xxhash64(F.lit(number), *[F.get("_w", at + p) for p in places]))
 
-
-def seeds_of(rows: DataFrame, how: Seeds) -> DataFrame:
-    """``rows`` with ``_text`` to rows with ``_seed`` and ``_pos`` in place of it."""
-    hashes = F.transform(words(F.col("_text")), lambda w: F.xxhash64(w))
-    arrays = rows.withColumn("_arrays", let(hashes, lambda h: _seed_arrays(h, how))).drop("_text")
-    each = arrays.select(*[c for c in arrays.columns if c != "_arrays"], F.explode("_arrays").alias("_seeds"))
-    return each.select(*[c for c in each.columns if c != "_seeds"], F.posexplode("_seeds").alias("_pos", "_seed"))
+    seeds = [seed(k, [p for p, c in enumerate(mask) if c == "1"], len(mask)) for k, mask in enumerate(how.masks)]
+    seeds += [seed(-n, list(range(n)), n) for n in lengths]
+    return rows.select("*", F.explode(F.array(*seeds)).alias("_seed")).where("_seed IS NOT NULL")
 
 
 def _keyed(docs: DataFrame) -> list[Column]:
@@ -69,38 +72,51 @@ def _keyed(docs: DataFrame) -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(F.col("doc_id").isNull(), F.col("text")).alias("_h")]
 
 
-def overlap(doc: Column, item: Column, shift: Column) -> Column:
-    """Most equal words in a run of the alignment: item word j against document word j + shift."""
-    first = F.greatest(F.lit(0), -shift)
-    last = F.least(F.size(item), F.size(doc) - shift) - 1
+def overlap(part: Column, item: Column, start: Column) -> Column:
+    """Most equal words in a run of ``part`` against the item's words from ``start`` on."""
     zero = F.lit(0)
 
-    def step(a: Column, j: Column) -> Column:
-        same = F.get(doc, j + shift) == F.get(item, j)
+    def step(a: Column, same: Column) -> Column:
         score = a["score"] + F.when(same, F.lit(1)).otherwise(F.lit(-MISMATCH))
         equal = a["equal"] + same.cast("int")
         lives = score >= 0
         return F.struct(F.when(lives, score).otherwise(zero).alias("score"), F.when(lives, equal).otherwise(zero).alias("equal"), F.greatest(a["best"], F.when(lives, equal).otherwise(zero)).alias("best"))
 
-    start = F.struct(zero.alias("score"), zero.alias("equal"), zero.alias("best"))
-    return F.when(last < first, zero).otherwise(F.aggregate(F.sequence(first, F.greatest(first, last)), start, step)["best"])
+    start_state = F.struct(zero.alias("score"), zero.alias("equal"), zero.alias("best"))
+    return F.aggregate(F.transform(part, lambda w, j: w == F.get(item, j + start)), start_state, step)["best"]
+
+
+def _cut(hits: DataFrame) -> DataFrame:
+    """Distinct alignments of ``hits(_id, _h, _w, _pos, _first, _at, _n)`` with the document's words beside the item."""
+    shift = F.col("_pos") - F.col("_at")
+    start = F.greatest(F.lit(0), -shift)
+    part = F.slice("_w", F.greatest(shift, F.lit(0)) + 1, F.least(F.col("_n"), F.size("_w") - shift) - start)
+    return hits.select("_id", "_h", "_first", start.alias("_start"), part.alias("_part")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, how: Seeds = Seeds()) -> DataFrame:
     """``_id, _h, items, overlap`` for each contaminated (id, text): the items and the longest run."""
-    items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("_item")).where(F.size("_item") > 0)
-    distinct = written(items.groupBy("_item").agg(F.min("item_id").alias("_first"), F.array_sort(F.collect_set("item_id")).alias("_all")), "benchmark-items")
-    test = written(seeds_of(distinct.select("_first", F.array_join("_item", " ").alias("_text")), how).withColumnRenamed("_pos", "_at"), "benchmark-seeds")
+    items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("_words")).where(F.size("_words") > 0)
+    distinct = items.groupBy("_words").agg(F.min("item_id").alias("_first"), F.array_sort(F.collect_set("item_id")).alias("_all"))
+    distinct = written(distinct.select("_first", "_all", F.transform("_words", lambda w: F.xxhash64(w)).alias("_item"), F.size("_words").alias("_n")), "benchmark-items")
+    short = F.col("_n") < how.min_overlap
+    lengths = sorted(r["_n"] for r in distinct.where(short).select("_n").distinct().collect())  # fewer than min_overlap rows
+    bare = distinct.select("_first", "_n", F.col("_item").alias("_w"))
+    test = seeds_of(bare.where(~short), how, [])
+    for n in lengths:
+        test = test.unionByName(seeds_of(bare.where(F.col("_n") == n), Seeds(()), [n]))
+    test = written(test.select("_seed", "_first", "_n", F.col("_pos").alias("_at")), "benchmark-seeds")
     small = test.limit(how.broadcast_seeds + 1).count() <= how.broadcast_seeds
-    train = seeds_of(docs.select(*_keyed(docs), F.col("text").alias("_text")), how)
-    hits = train.join(F.broadcast(test) if small else test, "_seed").select("_id", "_h", "_first", (F.col("_pos") - F.col("_at")).alias("_shift")).distinct()
-    found = written(hits.groupBy("_id", "_h").agg(F.collect_list(F.struct("_first", "_shift")).alias("_hits")), "seed-hits")
 
-    texts = docs.select(*_keyed(docs), "text").join(found, ["_id", "_h"])
-    one = texts.select("_id", "_h", words(F.col("text")).alias("_doc"), F.explode("_hits").alias("_hit"))
-    cut = one.select("_id", "_h", "_hit._first", "_hit._shift", "_doc")
+    hashed = docs.select(*_keyed(docs), _hashed(F.col("text")).alias("_w"))
+    train = seeds_of(hashed, how, lengths)
+    if small:
+        cut = _cut(train.join(F.broadcast(test), "_seed"))
+    else:
+        hits = train.select("_id", "_h", "_pos", "_seed").join(test, "_seed").select("_id", "_h", "_first", "_n", (F.col("_pos") - F.col("_at")).alias("_pos"), F.lit(0).alias("_at")).distinct()
+        cut = _cut(hashed.join(written(hits, "seed-hits"), ["_id", "_h"]))
     side = F.broadcast(distinct) if small else distinct
-    scored = cut.join(side, "_first").select("_id", "_h", "_all", overlap(F.col("_doc"), F.col("_item"), F.col("_shift")).alias("_best"), F.size("_item").alias("_n"))
+    scored = cut.join(side, "_first").select("_id", "_h", "_all", overlap(F.col("_part"), F.col("_item"), F.col("_start")).alias("_best"), "_n")
     held = scored.where(F.col("_best") >= F.least(F.col("_n"), F.lit(how.min_overlap)))
     return held.groupBy("_id", "_h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_all")))).alias("items"), F.max("_best").alias("overlap"))
 

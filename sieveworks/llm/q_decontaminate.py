@@ -18,19 +18,28 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D.,;:!?\"()|]+'), lambda w: w <> '')"
 
 
-def _seeds(source: str, key: str) -> str:
-    parts = []
-    for number, mask in enumerate(HOW.masks):
-        taken = " || ' ' || ".join(f"ws[i + {p + 1}]" for p, c in enumerate(mask) if c == "1")
-        parts.append(f"SELECT {key}, i, {number} AS mask, {taken} AS seed FROM (SELECT {key}, ws, unnest(range(len(ws) - {len(mask) - 1})) AS i FROM {source})")
-    return " UNION ALL ".join(parts)
+#: Whatever a run or a short item that counts looks like, so many words of it in a row are equal.
+_GRAM = 4
 
 
+def _grams(source: str, key: str, n: int, condition: str) -> str:
+    taken = " || ' ' || ".join(f"ws[i + {p + 1}]" for p in range(n))
+    return f"SELECT {key}, i, {n} AS gram, {taken} AS seed FROM (SELECT {key}, ws, unnest(range(len(ws) - {n - 1})) AS i FROM {source} WHERE {condition})"
+
+
+def _all_grams(source: str, key: str, conditions: list[str]) -> str:
+    return " UNION ALL ".join(_grams(source, key, n, c) for n, c in enumerate(conditions, 1))
+
+
+_EXACT = [f"len(ws) = {n}" for n in range(1, _GRAM)] + [f"len(ws) >= {_GRAM}"]
+_ASKED = [f"EXISTS (FROM b WHERE len(b.ws) = {n})" for n in range(1, _GRAM)] + ["true"]
+
+#: Every alignment that shares four words in a row is scored; no mask comes in.
 OP2_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
 b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
-ds AS ({_seeds('d', 'r')}), bs AS ({_seeds('b', 'item_id')}),
-hits AS (SELECT DISTINCT ds.r, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (mask, seed)),
+ds AS ({_all_grams('d', 'r', _ASKED)}), bs AS ({_all_grams('b', 'item_id', _EXACT)}),
+hits AS (SELECT DISTINCT ds.r, bs.item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (gram, seed)),
 aligned AS (SELECT h.r, h.item_id, len(b.ws) AS n,
     list_transform(range(greatest(0, -shift), least(len(b.ws), len(d.ws) - shift)), lambda j: (d.ws[j + shift + 1] = b.ws[j + 1])::INT) AS same
     FROM hits h JOIN d USING (r) JOIN b ON b.item_id = h.item_id),
