@@ -6,8 +6,6 @@ virtual path.  Every query covers whole tables; a limit appears only where it is
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.globs import glob_pattern
@@ -15,21 +13,8 @@ from ..functions.redact import PATTERN_RULES, mask_patterns, sanitize
 from ..functions.text import markdown_escape, path_parts, safe_path
 from ..operators import collect, fingerprint, grep, inventory, lookup, search, sections
 from ..sources.corpus import Corpus
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from . import fact_queries  # noqa: F401  registers the queries over structured files and scans
+from .registering import QUERIES, SQL, query  # noqa: F401
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -197,9 +182,16 @@ def substring_gate(spark, sf):
     return documents(spark, sf).files.select("path", F.contains("content", F.lit("token")).alias("has_token"), F.contains(F.lower("content"), F.lit("license")).alias("has_license"))
 
 
-@query()
+_FOLDED = r"[.]\n[a-z]+ the [^\n]+"
+_NEWLINES = "list_sum(list_transform({0}, lambda x: len(x) - len(replace(x, chr(10), ''))))::INT"
+
+
+@query(rf"""WITH {_FILES}, m AS (SELECT path, string_split(content, chr(10)) AS rows, regexp_split_to_array(content, '(?im){_FOLDED}') AS between, regexp_extract_all(content, '(?im){_FOLDED}') AS found FROM files),
+e AS (SELECT path, rows, between, found, unnest(range(1, len(found) + 1))::INT AS i FROM m),
+s AS (SELECT path, rows, found[i] AS hit, 1 + {_NEWLINES.format('between[:i]')} + coalesce({_NEWLINES.format('found[:i - 1]')}, 0) AS line_start FROM e)
+SELECT path, line_start, line_start + (len(hit) - len(replace(hit, chr(10), '')))::INT AS line_end, regexp_replace(rows[line_start], '^\s+|\s+$', '', 'g') AS match_text FROM s""")
 def grep_multiline(spark, sf):
-    return grep.grep_whole(documents(spark, sf).files, r"[.]\n[a-z]+ the [^\n]+", ("docs/**",))
+    return grep.grep_whole(documents(spark, sf).files, _FOLDED, ("docs/**",))
 
 
 # --- collection -------------------------------------------------------------
