@@ -16,23 +16,40 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPACE = "[\\x20\\x09-\\x0D]"
-_LEAD = ", ".join(f"lead(line, {k}) OVER w AS l{k}, lead(pos, {k}) OVER w AS a{k}" for k in range(1, HOW.window))
-_LINES = ", ".join(["line"] + [f"l{k}" for k in range(1, HOW.window)])
-_ATS = ", ".join(["pos"] + [f"a{k}" for k in range(1, HOW.window)])
+
+
+def _ends() -> str:
+    """Lines of the window that begins at line n (from 1) of a document; null if it does not fill one."""
+    cases, words = [], "words[n]"
+    for k in range(1, HOW.window):
+        cases.append(f"WHEN {words} >= {HOW.long_words} THEN {k}")
+        words += f" + words[n + {k}]"
+    return f"CASE {' '.join(cases)} WHEN n + {HOW.window - 1} <= len(words) THEN {HOW.window} END"
+
+
+def _beside(sign: str, i: str, j: str) -> str:
+    """Equal lines beside a window and its first place."""
+    out = str(HOW.window - 1)
+    for k in reversed(range(1, HOW.window)):
+        out = f"CASE WHEN {i} {sign} {k} >= 1 AND {j} {sign} {k} >= 1 AND a.ls[{i} {sign} {k}] = b.ls[{j} {sign} {k}] THEN {out} ELSE {k - 1} END"
+    return out
+
 
 OP1_SQL = f"""
-WITH d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, ls[pos + 1] AS line, pos FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS pos FROM d)),
-worded AS (SELECT * FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-run AS (SELECT doc_id, line, pos, {_LEAD}, lag(line) OVER w AS ll, lag(pos) OVER w AS lp, lead(line) OVER w AS rl, lead(pos) OVER w AS rp FROM worded WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-win AS (SELECT doc_id, [{_LINES}] AS lines, [{_ATS}] AS ats, NULL AS ll, NULL AS lp, NULL AS rl, NULL AS rp FROM run WHERE l{HOW.window - 1} IS NOT NULL
-    UNION ALL SELECT doc_id, [line], [pos], ll, lp, rl, rp FROM run WHERE len(list_filter(regexp_split_to_array(line, '{_SPACE}+'), lambda x: x <> '')) >= {HOW.long_words}),
-ranked AS (SELECT *, row_number() OVER f AS n, first_value(ll) OVER f AS fl, first_value(rl) OVER f AS fr FROM win WINDOW f AS (PARTITION BY lines ORDER BY doc_id, ats)),
-gone AS (SELECT doc_id, unnest(ats) AS pos FROM ranked WHERE n > 1 UNION SELECT doc_id, lp FROM ranked WHERE n > 1 AND ll = fl UNION SELECT doc_id, rp FROM ranked WHERE n > 1 AND rl = fr),
+WITH t AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents),
+l AS (SELECT doc_id, all_lines[pos + 1] AS line, pos FROM (SELECT doc_id, all_lines, unnest(range(len(all_lines))) AS pos FROM t)),
+worded AS (SELECT *, len(list_filter(regexp_split_to_array(line, '{_SPACE}+'), lambda x: x <> '')) AS n_words FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+d AS (SELECT doc_id, list(line ORDER BY pos) AS ls, list(pos ORDER BY pos) AS ps, list(n_words ORDER BY pos) AS words FROM worded GROUP BY doc_id),
+starts AS (SELECT doc_id, ls, words, unnest(range(1, len(ls) + 1)) AS n FROM d),
+win AS (SELECT doc_id, n, k, ls[n : n + k - 1] AS own FROM (SELECT *, {_ends()} AS k FROM starts) WHERE k IS NOT NULL),
+ranked AS (SELECT doc_id, n, k, row_number() OVER f AS r, first_value(doc_id) OVER f AS first_doc, first_value(n) OVER f AS m FROM win WINDOW f AS (PARTITION BY own ORDER BY doc_id, n)),
+reached AS (SELECT a.doc_id, a.ps, n - {_beside('-', 'n', 'm')} AS low, n + k - 1 + {_beside('+', '(n + k - 1)', '(m + k - 1)')} AS high
+    FROM ranked r JOIN d a ON a.doc_id = r.doc_id JOIN d b ON b.doc_id = r.first_doc WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(ps[low : high]) AS pos FROM reached),
 listed AS (SELECT doc_id, list_sort(list(pos)) AS removed FROM gone GROUP BY doc_id)
-SELECT doc_id, len(ls)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed,
-    md5(CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10)) END) AS text_md5
-FROM d LEFT JOIN listed USING (doc_id)
+SELECT doc_id, len(all_lines)::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed,
+    md5(CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(all_lines, lambda x, i: NOT list_contains(coalesce(removed, []), i - 1)), chr(10)) END) AS text_md5
+FROM t LEFT JOIN listed USING (doc_id)
 """
 
 QUERIES = {"op1_line_dedup": op1_line_dedup}
