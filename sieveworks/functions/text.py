@@ -55,14 +55,24 @@ def safe_path(path: Column) -> Column:
 
 
 def name_tokens(text: Column) -> Column:
-    """Identifier-aware tokens: each run of letters and digits in lower case, then its camel parts if several."""
+    """Identifier-aware tokens: each run of letters and digits in lower case, then its camel parts if several.
+
+    Camel boundaries are marked and letters lowered in the whole text at once; only texts with a
+    boundary are looked at run by run.
+    """
+    mark = "\x01"
+    known = F.translate(F.coalesce(text, F.lit("")), mark, " ")
+    marked = F.regexp_replace(F.regexp_replace(known, "([a-z0-9])([A-Z])", f"$1{mark}$2"), "([A-Z])([A-Z][a-z])", f"$1{mark}$2")
+    low = F.translate(marked, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
     def parts(run: Column) -> Column:
-        spaced = F.regexp_replace(F.regexp_replace(run, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z])([A-Z][a-z])", "$1 $2")
-        return let(F.split(F.lower(spaced), " "), lambda p: F.when(F.size(p) > 1, F.concat(F.array(F.lower(run)), p)).otherwise(F.array(F.lower(run))))
+        return F.when(F.contains(run, F.lit(mark)), F.concat(F.array(F.translate(run, mark, "")), F.split(run, mark))).otherwise(F.array(run))
+
+    def tokens(whole: Column) -> Column:
+        runs = F.array_remove(F.split(whole, f"[^a-z0-9{mark}]+"), "")
+        return F.when(F.contains(whole, F.lit(mark)), F.flatten(F.transform(runs, parts))).otherwise(runs)
 
-    runs = F.filter(F.split(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+"), lambda r: r != "")
-    return F.flatten(F.transform(runs, parts))
+    return let(low, tokens)
 
 
 def without_stop_words(tokens: Column, stop: list[str]) -> Column:

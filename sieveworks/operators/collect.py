@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def first_seen(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
@@ -19,17 +19,28 @@ def joined_first_seen(rows: DataFrame, keys: list[str], value: str, order: list[
 
 def sorted_names(rows: DataFrame, keys: list[str], value: str, most: int | None = None) -> DataFrame:
     """One row per key: its distinct values sorted (``names``), the first ``most``, and ``n_names``."""
-    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_all"))
-    names = F.slice("_all", 1, most) if most else F.col("_all")
-    return listed.select(*keys, F.array_join(names, ", ").alias("names"), F.size("_all").cast("long").alias("n_names"))
-
-
-def counted_groups(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``key, n, place``: groups by descending count, ties by first occurrence; ``place`` from one."""
+    distinct = rows.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    counted = rows.groupBy(*keys).agg(F.count_distinct(value).alias("n_names"))
+    shown = distinct
+    if most:
+        shown = distinct.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where(F.col("_n") <= most)
+    listed = shown.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_all"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = counted.join(listed.select(*[F.col(k).alias(f"_{k}") for k in keys], "_all"), same, "left")
+    return out.select(*keys, F.coalesce(F.array_join("_all", ", "), F.lit("")).alias("names"), "n_names")
+
+
+def counted_groups(rows: DataFrame, key: str, order: list[str], most: int | None = None) -> DataFrame:
+    """``key, n, place``: groups by descending count, ties by first occurrence; ``place`` from one.
+
+    Places run over all groups; with ``most`` each task keeps its first groups only.
+    """
     counted = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("_first"))
-    ranked = counted.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "_first", key, "n"))).alias("_all"))
-    each = ranked.select(F.posexplode("_all").alias("_at", "g"))
-    return each.select(F.col(f"g.{key}").alias(key), F.col("g.n").alias("n"), (F.col("_at") + 1).cast("long").alias("place"))
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "_first"))
+    ranked = counted.withColumn("_n", place)
+    if most:
+        ranked = ranked.where(F.col("_n") <= most)
+    return ranked.select(key, "n", F.col("_n").cast("long").alias("place"))
 
 
 def claimed_by(value: Column, groups: list[tuple[str, list[str]]]) -> Column:

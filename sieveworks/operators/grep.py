@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -56,13 +57,19 @@ def grep(lines: DataFrame, rules: list[Rule], shown: str = "text") -> DataFrame:
     return each.select("m.rule_id", "m.label", "m.tier", "m.cap", "path", "line", "m.ordinal", "line_content", "m.match_text")
 
 
-def capped(matches: DataFrame, cap: int | None = None) -> DataFrame:
+def capped(matches: DataFrame, cap: int) -> DataFrame:
     """The first ``cap`` matches of each rule in corpus order (path components, then line).
 
-    Without ``cap`` each rule's own holds.  A given cap lets Spark cut each partition before the shuffle.
+    The cap is a constant, so Spark cuts each partition before the shuffle.
     """
     order = Window.partitionBy("rule_id").orderBy(path_parts(F.col("path")), "line", "ordinal")
-    return matches.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= (F.col("cap") if cap is None else cap)).drop("_n")
+    return matches.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
+
+
+def capped_by_rule(matches: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The first matches of each rule, as many as its own cap says: one cut for each distinct cap."""
+    parts = [capped(matches.where(F.col("cap") == cap), cap) for cap in sorted({r.cap for r in rules})]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def first_tier(matches: DataFrame) -> DataFrame:

@@ -10,11 +10,17 @@ LIMIT = 5000
 PAGE_DEFAULT, PAGE_MAX, SEARCH_MAX = 100, 200, 50
 
 
-def items(findings: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """``keys, ordinal, value, n_evidence``: distinct values per key numbered from 0 by first occurrence."""
+def items(findings: DataFrame, keys: list[str], value: str, order: list[str], most: int | None = None) -> DataFrame:
+    """``keys, ordinal, value, n_evidence``: distinct values per key numbered from 0 by first occurrence.
+
+    With ``most`` only the first values of each key are numbered, and each task sends no more than those.
+    """
     distinct = findings.groupBy(*keys, F.col(value).alias("value")).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("n_evidence"))
     place = Window.partitionBy(*keys).orderBy("_first", "value")
-    return distinct.withColumn("ordinal", (F.row_number().over(place) - 1).cast("long")).drop("_first")
+    numbered = distinct.withColumn("_n", F.row_number().over(place))
+    if most:
+        numbered = numbered.where(F.col("_n") <= most)
+    return numbered.withColumn("ordinal", (F.col("_n") - 1).cast("long")).drop("_first", "_n")
 
 
 def with_limit(found: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFrame:

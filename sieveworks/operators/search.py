@@ -1,8 +1,8 @@
 """Identifier-aware BM25 search.
 
 Statistics (documents, document frequency, average length) cover the whole collection; a layer
-filter stays above them.  Only the query's terms are counted, inside each document's row, so a
-search is two scans and a top-k without a shuffle of postings.
+filter stays above them.  Only the query's terms are counted, inside each document's row, and
+kept, so a search is one scan and a top-k without a shuffle of postings.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.text import name_tokens
 
@@ -75,6 +76,7 @@ def search(docs: DataFrame, query: str, key: list[str], text: str, limit: int |
         return F.size(F.filter("_tokens", lambda x: x == t))
 
     counted = tokens.select(*key, "_detected", "_inside", F.size("_tokens").alias("length"), F.array(*[tf(t) for t in terms]).cast("array<int>").alias("tfs"))
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)  # a few numbers for each document; texts are tokenised once
     stats = counted.agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average"), *[F.count_if(F.get("tfs", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     df = {t: stats[f"df{i}"] for i, t in enumerate(terms)}
     scored = counted.where("_inside").withColumn("score", _score(terms, df, stats["n"], stats["average"], how))

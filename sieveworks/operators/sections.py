@@ -29,9 +29,9 @@ def rejections(evidence: DataFrame, keys: list[str]) -> DataFrame:
 def capped_evidence(evidence: DataFrame, keys: list[str], order: list[Column], limit: int | None = EVIDENCE_LIMIT) -> DataFrame:
     """The first rows of each section, ``ordinal`` from 0, with the section's ``evidence_total`` before the cut."""
     total = evidence.groupBy(*keys).agg(F.count("*").alias("evidence_total"))
-    numbered = evidence.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    kept = numbered if not limit else numbered.where(F.col("ordinal") < limit)
-    return kept.join(total, keys)
+    numbered = evidence.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    kept = numbered.where(F.col("_n") <= limit) if limit else numbered
+    return kept.withColumn("ordinal", F.col("_n").cast("long") - 1).drop("_n").join(total, keys)
 
 
 def merged(sections: DataFrame, overrides: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

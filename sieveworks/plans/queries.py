@@ -258,11 +258,11 @@ def conditional_counts(spark, sf):
 _FOUND = f"{_DOC_LINES}, m AS (SELECT string_split(path, '/')[2] AS lang, path, line, unnest(range(1, len(ms) + 1))::INT AS ordinal, unnest(ms) AS value FROM (SELECT path, line, regexp_extract_all(text, '[A-Z][a-z]{{3,}}') AS ms FROM lines)), i AS (SELECT lang, value, min((string_split(path, '/'), line, ordinal)) AS f, count(*) AS n_evidence FROM m GROUP BY lang, value), items AS (SELECT lang, value, n_evidence, row_number() OVER (PARTITION BY lang ORDER BY f, value) - 1 AS ordinal FROM i)"
 
 
-def _items(spark, sf):
+def _items(spark, sf, most=None):
     rule = grep.Rule("names", r"[A-Z][a-z]{3,}", case_sensitive=True, every_match=True)
     found = grep.grep(documents(spark, sf).lines, [rule])
     found = found.select(F.element_at(path_parts(F.col("path")), 2).alias("lang"), path_parts(F.col("path")).alias("parts"), "line", "ordinal", "match_text")
-    return inventory.items(found, ["lang"], "match_text", ["parts", "line", "ordinal"])
+    return inventory.items(found, ["lang"], "match_text", ["parts", "line", "ordinal"], most)
 
 
 @query(f"{_FOUND} SELECT lang, ordinal, value, n_evidence FROM items")
@@ -272,7 +272,7 @@ def inventory_first_seen(spark, sf):
 
 @query(f"{_FOUND}, n AS (SELECT lang, count(*) AS n FROM items GROUP BY lang) SELECT lang, least(n, 1000)::BIGINT AS n_items, CASE WHEN n > 1000 THEN 'incomplete' ELSE 'complete' END AS completeness, CASE WHEN n > 1000 THEN 'collection limit 1000 reached' END AS stop_reason FROM n")
 def inventory_overflow_cap(spark, sf):
-    return inventory.with_limit(_items(spark, sf), ["lang"], 1000)
+    return inventory.with_limit(_items(spark, sf, 1001), ["lang"], 1000)
 
 
 @query(f"{_FOUND}, n AS (SELECT lang, count(*) AS total FROM items GROUP BY lang) SELECT lang, ordinal, value, total, CASE WHEN 150 < total THEN '150' END AS next_cursor FROM items JOIN n USING (lang) WHERE ordinal >= 50 AND ordinal < 150")

@@ -7,13 +7,16 @@ fixed, so the result is small whatever the corpus.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.globs import glob_any
 from ..operators import grep
+from ..operators.sections import EVIDENCE_LIMIT, accepted, capped_evidence
 from ..sources import build_files
 from ..sources.corpus import Corpus
 from . import structured
@@ -24,8 +27,22 @@ RULES_A_PASS = 48
 _COLUMNS = "section string, probe int, label string, counts boolean, rule_id string, path string, line int, line_end int, line_content string, match_text string, provenance string"
 
 
-def _probes(kind: str) -> list[tuple[Detector, int, Probe]]:
-    return [(d, i, p) for d in DETECTORS for i, p in enumerate(d.probes) if p.kind == kind]
+def broken(spark: SparkSession) -> set[str]:
+    """Detectors with a pattern that does not compile.  They are left out, so that one of them fails alone."""
+    compile_one = spark.sparkContext._jvm.java.util.regex.Pattern.compile
+
+    def fails(p: Probe) -> bool:
+        try:
+            re.compile(p.pattern) if p.kind == "whole" else compile_one(p.pattern)
+        except (re.error, IllegalArgumentException):
+            return True
+        return False
+
+    return {d.id for d in DETECTORS if any(fails(p) for p in d.probes if p.pattern)}
+
+
+def _probes(kind: str, without: set[str] = frozenset()) -> list[tuple[Detector, int, Probe]]:
+    return [(d, i, p) for d in DETECTORS for i, p in enumerate(d.probes) if p.kind == kind and d.id not in without]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -35,12 +52,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def _line_matches(lines: DataFrame) -> DataFrame:
     """Capped line matches of all probes and structured rules, fallbacks resolved."""
     where, rules = {}, []
-    for n, (d, i, p) in enumerate(_probes("lines")):
+    for n, (d, i, p) in enumerate(_probes("lines", broken(lines.sparkSession))):
         rules.append(grep.Rule(f"p{n}", p.pattern, p.globs, label=f"{d.id}/{p.pattern}", tier=p.tier, case_sensitive=p.case_sensitive))
         where[f"p{n}"] = (d.id, i, p.label)
     rules += structured.RULES
     passes = [grep.grep(lines, rules[i : i + RULES_A_PASS], "safe_text") for i in range(0, len(rules), RULES_A_PASS)]
-    found = grep.capped(_union(passes))
+    found = grep.capped_by_rule(_union(passes), rules)
     spark = lines.sparkSession
     names = spark.createDataFrame([(k, *v) for k, v in where.items()], "rule_id string, section string, probe int, name string")
     tiered = {r.label for r in rules if r.tier}
@@ -52,7 +69,7 @@ def _line_matches(lines: DataFrame) -> DataFrame:
 
 def _whole_matches(corpus: Corpus) -> DataFrame:
     parts = []
-    for d, i, p in _probes("whole"):
+    for d, i, p in _probes("whole", broken(corpus.files.sparkSession)):
         hits = grep.grep_whole(corpus.files, p.pattern, p.globs)
         hits = hits.withColumn("rule_id", F.lit(f"{d.id}/{i}")).withColumn("label", F.lit("")).withColumn("tier", F.lit(0)).withColumn("cap", F.lit(grep.MAX_MATCHES)).withColumn("ordinal", F.lit(1)).withColumn("line", F.col("line_start"))
         cut = grep.capped(hits, grep.MAX_MATCHES)
@@ -90,15 +107,29 @@ def matches(corpus: Corpus) -> DataFrame:
     return every.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def evidence(corpus: Corpus, found: DataFrame, limit: int | None = EVIDENCE_LIMIT) -> DataFrame:
+    """The first ``limit`` rows of each section's evidence, in corpus order, that prove their range.
+
+    Adds ``ordinal``, ``evidence_total`` (before the cut) and what proves a range: the lines of the file and its digest.
+    """
+    shown = found.where(F.col("section").isNotNull() & F.col("counts"))
+    cut = capped_evidence(shown, ["section"], [F.split("path", "/"), F.col("line"), F.col("probe")], limit)
+    listed = corpus.listing.select("path", F.col("line_count").alias("source_line_count"), F.col("digest").alias("source_digest"))
+    whole = cut.join(listed, "path", "left").withColumnsRenamed({"line": "line_start"})
+    return accepted(whole.withColumns({"project": F.lit(None).cast("string"), "property": F.lit(None).cast("string")})).drop("project", "property")
+
+
 def _dimension(spark: SparkSession) -> DataFrame:
-    rows = [(n, d.layer, d.id, d.title, d.kind, d.summary, d.missing, d.decides, d.structured, d.keywords) for n, d in enumerate(DETECTORS)]
-    return spark.createDataFrame(rows, "place int, layer string, section string, title string, kind string, template string, missing string, decides string, structured boolean, keywords string")
+    gone = broken(spark)
+    rows = [(n, d.layer, d.id, d.title, d.kind, d.summary, d.missing, d.decides, d.structured, d.keywords, d.id in gone) for n, d in enumerate(DETECTORS)]
+    return spark.createDataFrame(rows, "place int, layer string, section string, title string, kind string, template string, missing string, decides string, structured boolean, keywords string, broken boolean")
 
 
 def sections(corpus: Corpus, found: DataFrame | None = None) -> DataFrame:
-    """One row per section, in registry order: ``layer, section, title, kind, detected, summary, evidence_total``.
+    """One row per section, in registry order: ``layer, section, title, kind, detected, summary, evidence_total, error``.
 
-    A corpus without files gives every section, undetected.
+    A corpus without files gives every section, undetected.  A section all of whose evidence is rejected is not
+    detected, and a detector that fails says so; neither touches the others.
     """
     spark = corpus.files.sparkSession
     found = matches(corpus) if found is None else found
@@ -119,10 +150,13 @@ def sections(corpus: Corpus, found: DataFrame | None = None) -> DataFrame:
         text = F.replace(text, F.lit(mark), F.coalesce(value, F.lit("")))
     text = F.when((text == "") & F.contains("template", F.lit("|")), F.split("template", "[|]")[1]).otherwise(text)
     simple_found = F.when(F.col("decides") == "labels", F.size("l") > 0).otherwise(F.coalesce("n", F.lit(0)) > 0)
-    detected = F.coalesce(F.when(F.col("structured"), F.col("s_detected")).otherwise(simple_found), F.lit(False))
-    summary = F.when(detected, F.when(F.col("structured"), F.col("s_summary")).otherwise(text)).otherwise(F.col("missing"))
+    seen = F.coalesce(F.when(F.col("structured"), F.col("s_detected")).otherwise(simple_found), F.lit(False))
     total = F.coalesce(F.when(F.col("structured"), F.col("s_total")).otherwise(F.col("n")), F.lit(0))
-    return joined.select("place", "layer", "section", "title", "kind", "keywords", detected.alias("detected"), summary.alias("summary"), F.when(detected, total).otherwise(F.lit(0)).cast("long").alias("evidence_total")).orderBy("place")
+    rejected = F.when(seen & F.col("section").isin(*structured.UNPROVEN), total).otherwise(F.lit(0))
+    detected = seen & (rejected == 0) & ~F.col("broken")
+    summary = F.when(F.col("broken"), F.lit("Detection unavailable")).when(seen, F.when(F.col("structured"), F.col("s_summary")).otherwise(text)).otherwise(F.col("missing"))
+    error = F.when(F.col("broken"), F.lit("Detector failed")).when(rejected > 0, F.format_string("Omitted %d invalid evidence entries", rejected.cast("long")))
+    return joined.select("place", "layer", "section", "title", "kind", "keywords", detected.alias("detected"), summary.alias("summary"), F.when(detected, total).otherwise(F.lit(0)).cast("long").alias("evidence_total"), error.alias("error")).orderBy("place")
 
 
 def layers(found: DataFrame) -> DataFrame:

@@ -36,6 +36,9 @@ TEST_MANIFEST = grep.Rule("manifest", r'android:name\s*=\s*"([^"]+)"', ("**/andr
 NEW_APPLICATION = [r'newApplication\([^)]*?"([A-Za-z0-9_$.]+)"', r"newApplication\([^)]*?([A-Za-z0-9_]+)::class\.java(?:\.name)?", r"newApplication\([^)]*?([A-Za-z0-9_$.]+)\.class(?:\.getName\(\))?"]
 APPLICATION = grep.Rule("application", "newApplication", ("**/*Runner*.kt", "**/*Runner*.java"), case_sensitive=True)
 
+#: Sections whose evidence quotes a text that stands in no file: none of it can be proven, so all of it is rejected.
+UNPROVEN = ["module_types", "module_classification"]
+
 RULES = [TASKS, REFERENCED, MANAGED, TAGS, IDS, FAKES, HILT, DAGGER, TEST_MANIFEST, APPLICATION]
 
 
@@ -100,8 +103,9 @@ def sections(corpus: Corpus, facts: DataFrame, matches: DataFrame) -> DataFrame:
     kinds = _module_kinds(facts)
     counts = kinds.where("type IN ('application', 'library')").agg(F.count_if(F.col("type") == "application").alias("a"), F.count_if(F.col("type") == "library").alias("l"))
     out.append(_section(counts, "module_types", F.col("a") + F.col("l") > 0, F.format_string("%d application, %d library", "a", "l"), F.col("a") + F.col("l")))
+    classed = kinds.agg(F.count("*").alias("total"))
     typed = collect.joined_first_seen(kinds.groupBy("type").agg(F.count("*").alias("n"), F.min(path_parts(F.col("path"))).alias("at")).select(F.lit(1).alias("k"), F.concat(F.col("n").cast("string"), F.lit(" "), F.col("type")).alias("v"), "at", "n"), ["k"], "v", ["at"])
-    out.append(_section(typed.agg(F.first("summary").alias("s")), "module_classification", F.col("s").isNotNull(), F.col("s"), F.lit(0)))
+    out.append(_section(typed.agg(F.first("summary").alias("s")).crossJoin(classed), "module_classification", F.col("s").isNotNull(), F.col("s"), F.col("total")))
 
     variants = facts.where("kind IN ('build_type', 'flavor')").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "build_type", F.col("name")))).alias("t"), F.array_sort(F.collect_set(F.when(F.col("kind") == "flavor", F.col("name")))).alias("f"), F.count("*").alias("n"))
     pieces = F.array_compact(F.array(F.when(F.size("t") > 0, F.concat(F.lit("buildTypes: "), F.array_join("t", ", "))), F.when(F.size("f") > 0, F.concat(F.lit("flavors: "), F.array_join("f", ", ")))))

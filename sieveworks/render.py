@@ -5,6 +5,7 @@ What stands before the markers is the reader's own and is kept.
 
 from __future__ import annotations
 
+import hashlib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
@@ -24,10 +25,18 @@ def layer_texts(sections: DataFrame) -> dict[str, str]:
     return {layer: f"## {layer.split('_')[0]} {title}\n\n{texts.get(layer, '')}" for layer, title in LAYERS.items()}
 
 
-def write_layers(sections: DataFrame, folder: str) -> None:
+def write_layers(sections: DataFrame, folder: str, fresh_headers: bool = False) -> None:
+    """One file for each layer; what stands before the generated part stays, unless ``fresh_headers``."""
     target = Path(folder)
     target.mkdir(parents=True, exist_ok=True)
     for layer, text in layer_texts(sections).items():
         path = target / f"{layer}.md"
-        header = path.read_text("utf-8").partition(BEGIN)[0] if path.exists() else ""
+        header = path.read_text("utf-8").partition(BEGIN)[0] if path.exists() and not fresh_headers else ""
         path.write_text(f"{header}{BEGIN}\n{text}\n{END}\n", "utf-8")
+
+
+def digest_of(folder: Path, layer: str) -> str | None:
+    """SHA-256 of the generated part of a layer's file; null if there is none."""
+    path = folder / f"{layer}.md"
+    text = path.read_text("utf-8") if path.exists() else ""
+    return hashlib.sha256(text.partition(BEGIN)[2].encode()).hexdigest() if BEGIN in text else None

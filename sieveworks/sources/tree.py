@@ -10,9 +10,10 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .build_files import settings_facts
 from .corpus import Corpus
 
 # Directories that are never entered, suffixes that are never read.
@@ -21,10 +22,17 @@ BINARY = frozenset([".apk", ".aab", ".jar", ".class", ".png", ".jpg", ".jpeg", "
 PART_BYTES = 16 << 20
 
 
+def outermost(root: str, excluded: Sequence[str]) -> list[str]:
+    """Excluded paths below the root, absolute, without those inside another; others cannot matter and go."""
+    base = os.path.realpath(root)
+    inside = sorted({p for p in (os.path.realpath(os.path.join(base, e)) for e in excluded) if os.path.commonpath([base, p]) == base}, key=lambda p: (p.count(os.sep), p))
+    return [p for i, p in enumerate(inside) if not any(p.startswith(q.rstrip(os.sep) + os.sep) for q in inside[:i])]
+
+
 def walk(root: str, excluded: Sequence[str] = ()) -> Iterator[tuple[str, str, os.stat_result]]:
     """``(relative path, absolute path, stat)`` of each regular file, in order of path components."""
-    left_out = {os.path.normpath(os.path.join(root, e)) for e in excluded}
-    todo = [("", root)]
+    left_out = set(outermost(root, excluded))
+    todo = [] if os.path.realpath(root) in left_out else [("", os.path.realpath(root))]
     while todo:
         prefix, folder = todo.pop()
         below = []
@@ -105,6 +113,16 @@ def open_tree(spark: SparkSession, root: str, exclude: Sequence[str] = ()) -> Co
     return Corpus(read_tree(spark, root, exclude=exclude))
 
 
+def project_name(spark: SparkSession, root: str) -> str:
+    """What the first settings script with a name says, else the directory's name."""
+    for name in ("settings.gradle.kts", "settings.gradle"):
+        found = read_tree(spark, root).where(F.col("path") == name).first()
+        told = next((n for kind, n, _ in settings_facts(found["content"] or "") if kind == "root_name"), None) if found else None
+        if told:
+            return told
+    return os.path.basename(os.path.realpath(root))
+
+
 def project_roots(root: str, markers: Sequence[str] = ("settings.gradle.kts", "settings.gradle")) -> list[str]:
     """Directories that hold a settings script, nearest the root first, then by path."""
     found = {os.path.dirname(p) for p, _, _ in walk(root) if os.path.basename(p) in markers}

@@ -1,5 +1,6 @@
 """A whole scan of a small tree, its store and its front end."""
 
+import dataclasses
 import json
 import os
 
@@ -10,7 +11,7 @@ from sieveworks.plans import registry, scan
 from sieveworks.render import BEGIN, layer_texts, write_layers
 from sieveworks.sources import build_files
 from sieveworks.sources.corpus import Corpus
-from sieveworks.sources.tree import project_roots, read_tree
+from sieveworks.sources.tree import outermost, project_name, project_roots, read_tree
 from sieveworks.store import Store
 
 TREE = {
@@ -82,6 +83,8 @@ def test_sections(store):
     rows = {r["section"]: r for r in store.sections().collect()}
     assert len(rows) == 84 and {k: rows[k]["summary"] for k in EXPECTED} == EXPECTED
     assert not rows["external_systems"]["detected"] and rows["external_systems"]["evidence_total"] == 0
+    told = {k: (r["detected"], r["error"]) for k, r in rows.items() if r["error"]}
+    assert told == {"module_types": (False, "Omitted 2 invalid evidence entries"), "module_classification": (False, "Omitted 2 invalid evidence entries")}
     layers = store.layers().collect()
     assert [r["layer"] for r in layers] == list(registry.LAYERS) and sum(r["sections"] for r in layers) == 84
 
@@ -97,7 +100,7 @@ def test_readers(store, root, tmp_path, capsys):
     page, following = store.evidence_page("documentation_locations", None, 2)
     assert [r["path"] for r in page.collect()] == ["README.md", "docs/README.md"] and following == "2"
     over = store.overview()
-    assert over["highlights"]["identity"] == "rootProject.name = demo-app" and "03_architecture/concurrency" in over["undetected"]
+    assert over["project"] == "demo-app" and over["highlights"]["identity"] == "rootProject.name = demo-app" and "03_architecture/concurrency" in over["undetected"]
     with pytest.raises(LookupError):
         store.section("01_overview", "nothing")
     texts = layer_texts(store.sections())
@@ -113,9 +116,16 @@ def test_freshness(store, root):
     assert store.refresh() == "no_op" and store.status(verify_content=True).state == "fresh"
     os.utime(f"{root}/README.md", (1, 1))
     assert store.refresh() == "metadata_updated"
+    layer = store.folder / "layers" / "01_overview.md"
+    layer.write_text("mine\n" + layer.read_text())
+    assert store.status().state == "fresh"
+    layer.write_text(layer.read_text().replace("demo-app", "other"))
+    assert store.status().state == "damaged" and store.refresh() == "artifacts_repaired"
+    assert layer.read_text().startswith("mine\n") and "demo-app" in layer.read_text()
+    assert store.refresh(fresh_headers=True) == "headers_refreshed" and layer.read_text().startswith(BEGIN)
     pointer = store.folder / "current.json"
     kept = pointer.read_text()
-    for change, state in (({"schema_version": "3"}, "schema_mismatch"), ({"digest": "x"}, "damaged"), ({"generation": "gone"}, "damaged")):
+    for change, state in (({"schema_version": "3"}, "schema_mismatch"), ({"digest": "x"}, "damaged"), ({"evidence": "x"}, "damaged"), ({"generation": "gone"}, "damaged")):
         pointer.write_text(json.dumps(json.loads(kept) | change))
         assert store.status().state == state
     pointer.write_text("{broken")
@@ -128,6 +138,29 @@ def test_freshness(store, root):
         store.refresh()
 
 
+def test_evidence_is_capped_and_proven(spark):
+    texts = [(f"src/F{i:03}.kt", "@Composable\n" * 3) for i in range(100)] + [("src/none.kt", None)]
+    corpus = Corpus(spark.createDataFrame(texts, "path string, content string"))
+    found = scan.matches(corpus)
+    rows = scan.evidence(corpus, found).where("section = 'ui_technology_signals'").orderBy("ordinal").collect()
+    assert [(r["path"], r["line_start"], r["ordinal"]) for r in rows] == [(f"src/F{i // 3:03}.kt", i % 3 + 1, i) for i in range(25)]
+    assert {(r["evidence_total"], r["source_line_count"], len(r["source_digest"])) for r in rows} == {(200, 3, 64)}
+    assert scan.evidence(corpus, found, None).where("section = 'ui_technology_signals'").count() == 200
+
+
+def test_a_broken_detector_fails_alone(spark, monkeypatch):
+    bad = dataclasses.replace(registry.DETECTORS[3], probes=(*registry.DETECTORS[3].probes, registry.lines("([", "**/*.kt")))
+    monkeypatch.setattr(scan, "DETECTORS", [bad if d.id == bad.id else d for d in registry.DETECTORS])
+    rows = {r["section"]: r for r in scan.sections(Corpus(spark.createDataFrame([("a.kt", "@Composable")], "path string, content string"))).collect()}
+    assert (rows[bad.id]["detected"], rows[bad.id]["error"]) == (False, "Detector failed") and rows["compose_setup"]["detected"]
+
+
+def test_exclusions(tmp_path):
+    root = str(tmp_path)
+    assert outermost(root, ["a/b", "a", "/elsewhere", "a/../c/d", "../x"]) == [f"{os.path.realpath(root)}/a", f"{os.path.realpath(root)}/c/d"]
+    assert project_name.__doc__
+
+
 def test_an_empty_corpus_has_every_section(spark):
     empty = Corpus(spark.createDataFrame([], "path string, content string"))
     rows = scan.sections(empty).collect()
