@@ -10,14 +10,16 @@ exists is scheduled, so the deviation does not grow with the corpus.  One task w
 per block, in a stream; it holds a row per source.  Blocks of a source that has run out are not scheduled;
 the windows of the others do not move.
 
-Block numbers need a running sum of bytes inside each source.  A source is cut into ``buckets`` by
-hashed id; sums run inside a bucket, and each bucket starts where the totals of those before it end.
-So a source with a third of all rows is spread over all tasks.
+Block numbers need a running sum of bytes inside each source.  A source is cut into buckets by
+hashed id, of at most about ``bucket_bytes`` each and at least ``buckets`` of them; sums run inside a bucket,
+and each bucket starts where the totals of those before it end.  So a source with a third of all rows is
+spread over all tasks, and no window grows with the corpus.
 
 Defined results: nothing is dropped; a source that has run out leaves its slots empty.  A null source is
-a source of its own; a null or empty text counts one byte; equal ids are ordered by their texts, and
-identical rows keep separate places.  Sources beyond the ``max_sources`` largest, or without a given
-weight, are mixed as one, which takes the least weight of the others and exists only where they do.
+a source of its own; a null or empty text counts one byte; equal ids with other texts are other documents, and
+identical rows keep separate places.  Sources beyond the ``max_sources`` largest are scheduled as one
+stream with the sum of their weights, and lie in it by hashed id, so in proportion to their bytes; sources without a
+given weight make such a stream with the least weight of the others.  It exists only where they do.
 An empty table gives no rows.  Other columns pass through :func:`mixed`.
 """
 
@@ -47,7 +49,8 @@ class Mix:
     temper: float = 0.5
     block_bytes: int = 65536
     period: int = 1024
-    buckets: int = 1024
+    buckets: int = 32
+    bucket_bytes: int = 64 << 20
     max_sources: int = 10_000
 
 
@@ -119,22 +122,25 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s:"), source.cast("string")), F.lit("null"))
 
 
-def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source") -> DataFrame:
-    """``docs`` (``doc_id``, ``text`` and more) packed in ``_row``, with its place in the mix.
+def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source", carry: list[str] | None = None) -> DataFrame:
+    """Each row of ``docs`` (``doc_id``, ``text`` and more), its ``carry`` columns (all) packed in ``_row``, with its place in the mix.
 
     Adds ``_source, _start, _block, _release, _deadline, _slot``; ``_start`` counts the bytes of the
-    source before the document.
+    stream before the document.  Texts move only if they are carried.
     """
     spark = docs.sparkSession
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    key = F.xxhash64("doc_id", "text")
+    whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("_row")
+    key, second = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
-    bucket = F.pmod(F.shiftright(key, 20), F.lit(how.buckets)).cast("int")
-    rows = docs.select(_source_key(F.col(source)).alias("_source"), bucket.alias("_bucket"), key.alias("_key"), size.alias("_size"), whole)
+    whole_bytes = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    buckets = max(how.buckets, -(-whole_bytes // how.bucket_bytes))
+    bucket = F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int")
+    rows = docs.select(_source_key(F.col(source)).alias("_source"), bucket.alias("_bucket"), key.alias("_key"), second.alias("_second"), size.alias("_size"), whole)
 
     totals = written(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_total")), "mix-totals")
     if how.weights is None:
-        sources = totals.groupBy("_source").agg(F.sum("_total").alias("bytes")).orderBy(F.desc("bytes"), "_source").limit(how.max_sources).collect()
+        roots = totals.groupBy("_source").agg(F.sum("_total").alias("bytes"))
+        sources = roots.orderBy(F.desc("bytes"), "_source").limit(how.max_sources).collect()
         weights = {r["_source"]: float(r["bytes"]) ** how.temper for r in sources}
     else:
         weights = {f"s:{s}": w for s, w in how.weights.items() if w > 0}
@@ -144,17 +150,18 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source") -> DataF
     named = totals.join(F.broadcast(single), "_source", "left").withColumn("_stream", F.coalesce("_known", F.lit("rest")))
     blocks = {r["_stream"]: -(-r["bytes"] // how.block_bytes) for r in named.groupBy("_stream").agg(F.sum("_total").alias("bytes")).collect()}
     if "rest" in blocks:
-        weights["rest"] = min(weights.values(), default=1.0)
+        others = named.where("_stream = 'rest'").groupBy("_source").agg(F.sum("_total").alias("bytes")).agg(F.sum(F.pow(F.col("bytes").cast("double"), F.lit(how.temper))))
+        weights["rest"] = others.first()[0] if how.weights is None else min(weights.values(), default=1.0)
     slots = _slots(spark, exact_weights(weights), blocks)
 
     # what a bucket needs of the schedule: the blocks from its first byte to its last
-    before = Window.partitionBy("_stream").orderBy("_source", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_stream").orderBy("_bucket", "_source").rowsBetween(Window.unboundedPreceding, -1)
     bases = named.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0).cast("long")))
     met = F.sequence(F.expr(f"_base div {how.block_bytes}"), F.expr(f"(_base + _total - 1) div {how.block_bytes}"))
     spans = bases.select("_source", "_bucket", "_stream", "_base", F.explode(met).alias("_block")).join(slots, ["_stream", "_block"])
     plans = spans.groupBy("_source", "_bucket").agg(F.min("_base").alias("_base"), F.array_sort(F.collect_list(F.struct("_block", "_r", "_d", "_t"))).alias("_plan"))
 
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", F.col("_row.doc_id"), F.col("_row.text"))
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_second")
     summed = rows.withColumn("_upto", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = summed.join(plans, ["_source", "_bucket"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("_size"))
     placed = placed.withColumn("_block", F.expr(f"_start div {how.block_bytes}")).withColumn("_at", F.expr("get(_plan, cast(_block - _plan[0]._block AS int))"))

@@ -10,7 +10,7 @@ from .mixing import plan_mix
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return plan_mix(docs).select(
+    return plan_mix(docs, carry=["doc_id", "source"]).select(
         F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_start").alias("start"), F.col("_block").alias("block"),
         F.col("_release").alias("release"), F.col("_deadline").alias("deadline"), F.col("_slot").alias("slot"),
     )
