@@ -3,7 +3,8 @@
 Patterns give the base spans, leftmost and non-overlapping for each kind, in code points.
 
 The method adds spans of kind ``random``.  Candidates are runs of ``[A-Za-z0-9+/_-]`` (with ``=``
-padding) of at least ``min_chars`` that no base span overlaps.  Each gets the smallest encoding that holds
+padding) of at least ``min_chars`` that no base span overlaps; a run that mixes the signs of both base 64
+alphabets is cut at ``-`` and ``_``, and its parts are candidates.  Each gets the smallest encoding that holds
 its characters (hexadecimal, base 32, lower-case or full alphanumeric, base 64; plain decimals and
 single-case words are none).  The battery asks whether it could be drawn uniformly from that alphabet:
 chi-squared uniformity, runs about the alphabet's middle, and lag-one serial correlation, each as a
@@ -11,11 +12,14 @@ two-sided p-value, combined by Bonferroni.  A candidate passes if the combined v
 ``min_random``.
 
 Short strings pass such tests easily, so passing is not enough: under the rival model of ordinary
-words and identifiers (:data:`ORDINARY`) the likelihood ratio of the uniform model is an e-value, so
-its inverse is a p-value whatever the length: a longer string can reach a smaller one.  Within each
+text the likelihood ratio of the uniform model is an e-value, so
+its inverse is a p-value whatever the length: a longer string can reach a smaller one.  The rival model is
+fitted to the corpus: the shares of the characters of candidates in all its texts, over a weak prior
+(:data:`ORDINARY`), 66 counts that reach the driver.  Within each
 length class these p-values, over all candidates of the corpus, go through Benjamini-Hochberg on a
 fixed grid of powers of ten, which keeps the share of false discoveries at most ``fdr``.  What
-reaches the driver is one count per length class and grid step.
+reaches the driver is one count per length class and grid step.  The grid ends at 10**-60: such a value is a
+discovery among fewer than 10**58 candidates, so smaller ones change nothing.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated rows; other columns
 are not read.
@@ -29,6 +33,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,8 +46,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_CHARS = 6
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the smallest alphabet on.
 ENCODINGS = {
@@ -55,16 +58,19 @@ ENCODINGS = {
     "base64": UPPER + LOWER + DIGITS + "+/",
     "base64url": UPPER + LOWER + DIGITS + "-_",
 }
-#: Share of each character class in ordinary words and identifiers, uniform inside a class.
+#: The prior of the rival model: shares of character classes, uniform inside a class, as of so many characters.
 ORDINARY = {LOWER: 0.86, UPPER: 0.08, DIGITS: 0.04, "+/-_": 0.02}
-_ORDINARY = {c: math.log(share / len(chars)) for chars, share in ORDINARY.items() for c in chars}
+PRIOR_CHARS = 10_000
 GRID = 60
 
 
 @dataclass(frozen=True)
 class Battery:
+    """``min_chars``: least length of a candidate; shorter strings cannot tell enough."""
+
     min_random: float = 0.01
     fdr: float = 0.01
+    min_chars: int = 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -112,28 +118,55 @@ def battery(token: str, encoding: str) -> float:
     return min(1.0, 3 * min(uniform, runs, serial))
 
 
-def evidence(token: str, encoding: str) -> float:
-    """-log10 of the p-value against ordinary words: the log likelihood ratio, at least 0."""
+def rival(counts: dict[str, int]) -> dict[str, float]:
+    """Log share of each character in ordinary text, from its counts and the prior."""
+    prior = {c: PRIOR_CHARS * share / len(chars) for chars, share in ORDINARY.items() for c in chars}
+    total = PRIOR_CHARS + sum(counts.get(c, 0) for c in prior)
+    return {c: math.log((counts.get(c, 0) + n) / total) for c, n in prior.items()}
+
+
+def evidence(token: str, encoding: str, ordinary: dict[str, float]) -> float:
+    """-log10 of the p-value against ordinary text: the log likelihood ratio, at least 0."""
     token = token.rstrip("=")
-    ratio = -len(token) * math.log(len(ENCODINGS[encoding])) - sum(_ORDINARY[c] for c in token)
+    ratio = -len(token) * math.log(len(ENCODINGS[encoding])) - sum(ordinary[c] for c in token)
     return max(0.0, ratio / math.log(10))
 
 
-def candidates(text: str, base: list[tuple[int, int, str]], how: Battery) -> list[tuple[int, int, int, int]]:
+def runs(text: str, least: int) -> Iterator[tuple[int, int]]:
+    """Spans of the runs to test."""
+    for m in re.finditer(rf"[A-Za-z0-9+/_-]{{{least},}}={{0,2}}", text):
+        if re.search("[+/]", m[0]) and re.search("[-_]", m[0]):
+            yield from ((m.start() + p.start(), m.start() + p.end()) for p in re.finditer(rf"[A-Za-z0-9+/]{{{least},}}={{0,2}}", m[0]))
+        else:
+            yield m.span()
+
+
+def candidates(text: str, base: list[tuple[int, int, str]], how: Battery, ordinary: dict[str, float]) -> list[tuple[int, int, int, int]]:
     """``start, end, length class, evidence step`` of the tested runs; step -1 failed the battery."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(a < e and s < b for s, e, _ in base):
-            continue
-        encoding = encoding_of(m[0])
-        if encoding is None:
-            continue
-        step = min(GRID, int(evidence(m[0], encoding))) if battery(m[0], encoding) >= how.min_random else -1
-        out.append((a, b, (b - a).bit_length(), step))
+    for a, b in runs(text, how.min_chars):
+        encoding = None if any(a < e and s < b for s, e, _ in base) else encoding_of(text[a:b])
+        if encoding:
+            step = min(GRID, int(evidence(text[a:b], encoding, ordinary))) if battery(text[a:b], encoding) >= how.min_random else -1
+            out.append((a, b, (b - a).bit_length(), step))
     return out
 
 
+def character_counts(docs: DataFrame) -> dict[str, int]:
+    """How often each character of candidates stands in all texts."""
+    known = "".join(ORDINARY)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                if value.is_valid:
+                    total += np.bincount(np.frombuffer(value.as_buffer(), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(list(known)), pa.array([int(total[ord(c)]) for c in known], pa.int64())], names=["c", "n"])
+
+    return {r["c"]: r["n"] for r in docs.select("text").mapInArrow(count, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+
+
 def cutoffs(counts: list[tuple[int, int, int]], how: Battery) -> dict[int, int]:
     """Least evidence step that is a discovery in each length class (Benjamini-Hochberg).
 
@@ -156,7 +189,7 @@ _SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("size", pa.int3
 _SCAN = "doc_id long, base array<struct<start:int,stop:int,kind:string>>, found array<struct<start:int,stop:int,size:int,step:int>>"
 
 
-def scan(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
+def scan(docs: DataFrame, how: Battery, ordinary: dict[str, float]) -> DataFrame:
     """Base spans and tested candidates of each row of ``docs(doc_id, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +200,7 @@ def scan(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
                 text = value.as_py() or ""
                 spans = base_spans(text)
                 base.append([{"start": a, "stop": b, "kind": k} for a, b, k in spans])
-                found.append([dict(zip(("start", "stop", "size", "step"), c)) for c in candidates(text, spans, how)])
+                found.append([dict(zip(("start", "stop", "size", "step"), c)) for c in candidates(text, spans, how, ordinary)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, kinds), pa.array(found, pa.list_(_SPAN))], names=["doc_id", "base", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCAN)
@@ -175,7 +208,7 @@ def scan(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
 
 def find_secrets(docs: DataFrame, how: Battery = Battery()) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random`` for each row of ``docs``."""
-    scanned = written(scan(docs, how), "secret-spans")
+    scanned = written(scan(docs, how, rival(character_counts(docs))), "secret-spans")
     tested = scanned.select(F.explode("found").alias("c")).groupBy("c.size", "c.step").count()
     least = cutoffs([(r["size"], r["step"], r["count"]) for r in tested.collect()], how)
 
