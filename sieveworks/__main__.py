@@ -9,9 +9,15 @@ import argparse
 import json
 import sys
 
+from pyspark.sql import functions as F
+
+from .formats import evidence_lines, overview_text, section_lines, section_text
+from .functions.redact import sanitize_deep, sanitize_text
+from .operators.sections import EVIDENCE_LIMIT
+from .plans.registry import LAYERS
 from .render import write_layers
 from .session import session
-from .store import Store
+from .store import Store, open_store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "scan":
             command.add_argument("--force", action="store_true")
             command.add_argument("--markdown")
+            command.add_argument("--refresh-header", action="store_true")
+            command.add_argument("--evidence-limit", type=int, default=EVIDENCE_LIMIT, help="0: no limit")
         if name == "status":
             command.add_argument("--verify-content", action="store_true")
         if name == "search":
@@ -39,36 +47,48 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
-def answer(store: Store, args: argparse.Namespace) -> tuple[object, int]:
+def answer(store: Store, args: argparse.Namespace) -> tuple[object, str, int]:
+    """Data, the same as text, and the exit code."""
     if args.command == "scan":
-        action = store.refresh(args.force)
+        action = store.refresh(args.force, args.refresh_header, args.evidence_limit or None)
         if args.markdown:
-            write_layers(store.sections(), args.markdown)
-        return {"action": action}, 0
+            write_layers(store.sections(), args.markdown, args.refresh_header)
+        found = store.status()
+        return {"action": action} | vars(found), f"{action}: {found.line}", 0
     if args.command == "status":
         found = store.status(args.verify_content)
-        return vars(found), 0 if found.state == "fresh" else 1
+        return vars(found) | {"summary": found.line}, found.line, 0 if found.state == "fresh" else 1
     if args.command == "layers":
-        return [r.asDict() for r in store.layers().collect()], 0
+        rows = [r.asDict() for r in store.layers().collect()]
+        return rows, "\n".join(f"{r['layer']:<20} {r['detected']}/{r['sections']}  {r['title']}" for r in rows), 0
     if args.command == "overview":
-        return store.overview(), 0
+        found = store.overview()
+        return found, overview_text(found, store.status().state), 0
     if args.command == "search":
-        return [r.asDict() for r in store.search(args.query, args.limit, args.layer).collect()], 0
+        rows = [r.asDict() for r in store.search(args.query, args.limit, args.layer).collect()]
+        return rows, "\n".join(f"{r['score']:8.3f}  {r['layer']}/{r['section']}  ({r['matched_terms']})" for r in rows) or "Nothing found", 0
     if not args.section:
-        rows = store.sections().where(f"layer = '{args.layer.replace(chr(39), '')}'").orderBy("place").collect()
-        return [r.asDict() for r in rows], 0 if rows else 1
+        rows = store.sections().where(F.col("layer") == args.layer).orderBy("place")
+        lines = [r["line"] for r in section_lines(rows).orderBy("place").collect()]
+        if not lines:
+            raise LookupError(f"no layer {args.layer}")
+        return [r.asDict() for r in rows.collect()], "\n".join([f"{args.layer}  {LAYERS[args.layer]}", "", *lines]), 0
+    section = store.section(args.layer, args.section)
     page, following = store.evidence_page(args.section, args.cursor, args.limit)
-    return {"section": store.section(args.layer, args.section), "evidence": [r.asDict() for r in page.collect()], "next_cursor": following}, 0
+    shown = [r["line"] for r in evidence_lines(page).orderBy("ordinal").collect()]
+    data = {"section": section, "evidence": [r.asDict() for r in page.collect()], "next_cursor": following}
+    return data, section_text(section, shown, section["evidence_total"]), 0
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Wrong use ends with 2, as argparse does; what is not there or not fresh with 1."""
     args = parser().parse_args(argv)
     try:
-        said, code = answer(Store(session(), args.root, args.store), args)
+        data, text, code = answer(open_store(session(), args.root, args.store), args)
     except (LookupError, ValueError) as e:
-        print(e, file=sys.stderr)
+        print(sanitize_text(str(e)), file=sys.stderr)
         return 1
-    print(json.dumps(said, ensure_ascii=False, indent=2) if args.json or not isinstance(said, list) else "\n".join(" | ".join(str(v) for v in r.values()) for r in said))
+    print(json.dumps(sanitize_deep(data), ensure_ascii=False, indent=2) if args.json else sanitize_text(text))
     return code
 
 

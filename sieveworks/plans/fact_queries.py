@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import formats
 from ..functions.redact import REDACTED, sanitize, sanitize_columns
 from ..operators import sections as evidence
 from ..sources import build_files
@@ -295,6 +296,22 @@ def scan_layers(spark, sf):
     return scan.layers(scan.sections(_tree(spark, sf)))
 
 
+@query(f"WITH {_KINDS}, s AS ({_SECTION_ROWS}) SELECT layer, place, printf('[%s] %-32s %s', CASE WHEN detected THEN '+' ELSE '-' END, section, summary) AS line FROM s")
+def scan_section_lines(spark, sf):
+    return formats.section_lines(scan.sections(_tree(spark, sf)))
+
+
+@query("""WITH f AS (SELECT 'core/src/main/java/B' || s_suppkey || '.kt' AS path FROM supplier WHERE s_suppkey % 4 = 1), r AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal, least(200, count(*) OVER ()) AS total FROM f),
+d AS (SELECT 'docs/d' || s_suppkey || '.md' AS path FROM supplier WHERE s_suppkey % 4 = 2), o AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal, count(*) OVER () AS total FROM d)
+SELECT 'state_management' AS section, ordinal, path || ':1  val s: StateFlow<Int>' AS line, total::BIGINT AS evidence_total FROM r WHERE ordinal < 25
+UNION ALL SELECT 'documentation_locations', ordinal, path || ' (file)  ', total::BIGINT FROM o WHERE ordinal < 25""")
+def scan_evidence_located(spark, sf):
+    """Evidence of two sections as a scan keeps it: capped, checked, with the place it stands at."""
+    tree = _tree(spark, sf)
+    kept = scan.evidence(tree, scan.matches(tree)).where("section IN ('state_management', 'documentation_locations')")
+    return formats.evidence_lines(kept).join(kept.select("section", "ordinal", "evidence_total"), ["section", "ordinal"])
+
+
 # --- masking ----------------------------------------------------------------
 
 

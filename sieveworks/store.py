@@ -14,6 +14,7 @@ import json
 import os
 import shutil
 import tempfile
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -22,12 +23,14 @@ from pathlib import Path
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .formats import status_line
 from .operators import fingerprint, inventory, search
 from .operators.sections import EVIDENCE_LIMIT
 from .plans import scan
 from .plans.registry import HIGHLIGHTS, LAYERS
 from .render import digest_of, write_layers
-from .sources.tree import open_tree, project_name, read_tree
+from .sources.tree import open_tree, project_name, project_roots, read_tree
+from .sources.version_control import changed_since, checkout
 
 SCHEMA_VERSION = 4
 POINTER = "current.json"
@@ -38,6 +41,25 @@ class Status:
     state: str
     scanned_at: str | None = None
     files: int | None = None
+    commit: str | None = None
+    head: str | None = None
+    changed: int | None = None
+
+    @property
+    def line(self) -> str:
+        return status_line(**vars(self))
+
+
+def open_store(spark: SparkSession, path: str, folder: str | None = None) -> Store:
+    """The store of the project nearest to ``path``, which has to hold a settings script; of several the first counts, with a warning."""
+    if not os.path.isdir(path):
+        raise LookupError(f"no such directory: {path}")
+    roots = project_roots(path)
+    if not roots:
+        raise LookupError(f"no settings script below {path}")
+    if len(roots) > 1:
+        warnings.warn(f"{len(roots)} projects below {path}; taking {roots[0] or '.'}", stacklevel=2)
+    return Store(spark, os.path.join(path, roots[0]), folder)
 
 
 def _write(path: Path, text: str) -> None:
@@ -94,6 +116,8 @@ class Store:
         if not found or not (self.folder / found.get("generation", "?") / "sections").is_dir():
             return Status("damaged")
         told = (found["scanned_at"], found["files"])
+        if commit := found.get("commit"):
+            told += (commit, checkout(self.root).commit, changed_since(self.root, commit))
         if type(found.get("schema_version")) is not int or found["schema_version"] != SCHEMA_VERSION:
             return Status("schema_mismatch", *told)
         if not self._tables_valid(found) or not self._layers_valid(found):
@@ -168,7 +192,7 @@ class Store:
                 raise RuntimeError("the tree changed while it was scanned")
             tell("layers")
             made = {"schema_version": SCHEMA_VERSION, "generation": name, "quick": quick, "content": content, "files": corpus.files.count(), "evidence_limit": evidence_limit}
-            made["project"] = project_name(self.spark, self.root)
+            made["project"], made["commit"] = project_name(self.spark, self.root), checkout(self.root).commit
             made["scanned_at"] = datetime.datetime.now(datetime.UTC).isoformat(timespec="seconds")
             made["digest"] = self._digest(self._table("sections", made))
             made["evidence"] = self._evidence_digest(self._table("evidence", made))

@@ -3,6 +3,7 @@
 import dataclasses
 import json
 import os
+import subprocess
 
 import pytest
 
@@ -12,7 +13,8 @@ from sieveworks.render import BEGIN, layer_texts, write_layers
 from sieveworks.sources import build_files
 from sieveworks.sources.corpus import Corpus
 from sieveworks.sources.tree import outermost, project_name, project_roots, read_tree
-from sieveworks.store import Store
+from sieveworks.sources.version_control import Checkout, changed_since, checkout
+from sieveworks.store import Status, Store
 
 TREE = {
     "settings.gradle.kts": 'pluginManagement {\n}\nrootProject.name = "demo-app"\ninclude(":app", ":core:net",\n ":core:ui")\ninclude(":feature:login")\n',
@@ -109,6 +111,12 @@ def test_readers(store, root, tmp_path, capsys):
     write_layers(store.sections(), str(tmp_path))
     assert (tmp_path / "01_overview.md").read_text().startswith("my header\n" + BEGIN)
     assert main(["--json", "status", root]) == 0 and json.loads(capsys.readouterr().out)["state"] == "fresh"
+    assert main(["show", root, "01_overview"]) == 0
+    text = capsys.readouterr().out
+    assert text.startswith("01_overview  Project Overview\n\n[+] repository_identity" + " " * 13 + " rootProject.name = demo-app\n")
+    assert main(["show", root, "01_overview", "documentation_locations", "--limit", "2"]) == 0
+    assert capsys.readouterr().out == "Documentation Locations (documentation_locations)\nDetected: 3 documentation locations\n\n  README.md (file)  \n  docs/README.md (file)  \n  ... 1 more\n"
+    assert main(["show", root, "nothing"]) == 1 and main(["status", f"{root}/docs"]) == 1
     assert main(["show", root, "01_overview", "nothing"]) == 1
 
 
@@ -155,6 +163,20 @@ def test_a_broken_detector_fails_alone(spark, monkeypatch):
     assert (rows[bad.id]["detected"], rows[bad.id]["error"]) == (False, "Detector failed") and rows["compose_setup"]["detected"]
 
 
+def test_status_lines_and_checkouts(tmp_path):
+    assert Status("missing").line == "Nothing has been scanned; run a scan"
+    assert Status("stale", "T", 3, "a" * 40, "b" * 40, 2).line == f"The scan is out of date; run a scan, scanned T, 3 files, built at {'a' * 12}, HEAD {'b' * 12}, 2 files changed since"
+    assert checkout(str(tmp_path)) == Checkout() and changed_since(str(tmp_path), "x") is None
+    git = ["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x"]
+    (tmp_path / "a").write_text("1")
+    for words in (["init", "-q"], ["add", "a"], ["commit", "-qm", "m"]):
+        subprocess.run([*git, *words], check=True)
+    here = checkout(str(tmp_path))
+    assert len(here.commit) == 40 and here.dirty is False and os.path.samefile(here.root, tmp_path)
+    (tmp_path / "a").write_text("2")
+    assert checkout(str(tmp_path)).dirty and changed_since(str(tmp_path), here.commit.upper()) == 1
+
+
 def test_exclusions(tmp_path):
     root = str(tmp_path)
     assert outermost(root, ["a/b", "a", "/elsewhere", "a/../c/d", "../x"]) == [f"{os.path.realpath(root)}/a", f"{os.path.realpath(root)}/c/d"]
