@@ -105,34 +105,70 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def joining_links(names: list[int], components: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components, as few as join what the similar pairs join.
+def look_similar(components: np.ndarray, sketches: np.ndarray, least: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in different components whose sketches have ``least`` equal bytes or more.
 
-    Intersections of all pairs come from the product of the incidence matrix with itself, taken over
-    4096 distinct shingles at a time.
+    With ``spanning`` only a forest of them that joins what all of them join, the most similar first.
     """
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    known, column = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, len(known), 4096):
-        a, b = np.searchsorted(column, (start, start + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[a:b], column[a:b] - start] = 1
-        both += part @ part.T
-    either = sizes[:, None] + sizes[None, :] - both
-    first, second = np.nonzero(np.triu(100 * both >= percent * either, 1) & (both > 0))
-    parent = {c: c for c in components}
+    equal = (sketches[:, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int16)
+    a, b = np.nonzero(np.triu((equal >= least) & (components[:, None] != components[None, :]), 1))
+    if not spanning or len(a) < 2:
+        return a, b
+    best = np.argsort(-equal[a, b], kind="stable")
+    kept = _forest(components[a[best]].tolist(), components[b[best]].tolist())
+    return a[best[kept]], b[best[kept]]
+
+
+def _forest(us: list[int], vs: list[int]) -> list[int]:
+    """Numbers of the edges that join two trees when edges are taken in order."""
+    parent: dict[int, int] = {}
     out = []
-    for i, j in zip(first.tolist(), second.tolist()):
-        u, v = components[i], components[j]
-        while parent[u] != u:
+    left = len({*us, *vs}) - 1
+    for k, (u, v) in enumerate(zip(us, vs)):
+        while parent.get(u, u) != u:
             u = parent[u]
-        while parent[v] != v:
+        while parent.get(v, v) != v:
             v = parent[v]
         if u != v:
             parent[v] = u
-            out.append((names[i], names[j]))
+            out.append(k)
+            left -= 1
+            if not left:
+                break
     return out
+
+
+def joining_links(asked: list[tuple[int, int, np.ndarray]], there: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links between rows ``(name, component, set)`` of the two lists in different components, as few as
+    join what the similar pairs join.
+
+    Intersections of all pairs come from the product of the two incidence matrices, over the shingles
+    that occur in more than one place, 2048 at a time.
+    """
+    sides = asked, there
+    sizes = [np.array([len(s) for _, _, s in side]) for side in sides]
+    owner = np.concatenate([np.repeat(np.arange(len(side)), n) for side, n in zip(sides, sizes)])
+    second = np.repeat([False, True], [n.sum() for n in sizes])
+    known, column = np.unique(np.concatenate([s for side in sides for _, _, s in side]), return_inverse=True)
+    places = np.bincount(column, minlength=len(known))
+    met = np.bincount(column[second], minlength=len(known))
+    useful = (met > 0) & (places > met)
+    number = np.cumsum(useful) - 1
+    use = useful[column]
+    column, owner, second = number[column[use]], owner[use], second[use]
+    order = np.argsort(column, kind="stable")
+    column, owner, second = column[order], owner[order], second[order]
+    both = np.zeros((len(asked), len(there)), np.float32)
+    for start in range(0, int(useful.sum()), 2048):
+        a, b = np.searchsorted(column, (start, start + 2048))
+        parts = []
+        for side, mine in zip(sides, (~second[a:b], second[a:b])):
+            part = np.zeros((len(side), 2048), np.float32)
+            part[owner[a:b][mine], column[a:b][mine] - start] = 1
+            parts.append(part)
+        both += parts[0] @ parts[1].T
+    components = [np.array([c for _, c, _ in side]) for side in sides]
+    either = sizes[0][:, None] + sizes[1][None, :] - both
+    first, other = np.nonzero((100 * both >= percent * either) & (both > 0) & (components[0][:, None] != components[1][None, :]))
+    kept = _forest(components[0][first].tolist(), components[1][other].tolist())
+    return [(asked[first[k]][0], there[other[k]][0]) for k in kept]

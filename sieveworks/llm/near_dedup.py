@@ -5,22 +5,29 @@ the set.  In each of ``trees`` trees a class starts at the root; each node choos
 two positions of the minwise signature, and a class moves to the child named by its token there.  Classes
 that meet at a node are likely to be similar.
 
-* A node is first compared with one leader, the member of least hashed id; found links join classes
-  into components.  A node whose members are one component needs no further comparison.
-* What is left of a node of at most ``small`` members is compared exhaustively on full sets, all at once
-  in one matrix product; only links that join components come out.
-* A larger node without a main component goes ``step`` levels deeper, where unrelated members part, down
-  to ``depth``.
-* A larger node with a component of half its members, or at full depth, is dense.  First a few more leaders
-  are compared with it.  Then the members outside its main component are the queries: they and all members
-  are cut into blocks of about ``small``, and each block of queries meets each block of members in one
-  matrix product.  So no pair that meets at such a node is skipped, and no group is collected anywhere.
-
-Pairs with a leader pass a sketch (64 bytes each; a similarity of ``percent`` falls below its threshold once
-in a million) and are then confirmed on full sets.  Links between components so far are joined in one task
+* A node of at most ``small`` members is compared by sketches (64 bytes each; a similarity of ``percent``
+  falls below their threshold once in a million).  First the pairs of a spanning forest of what looks similar
+  are confirmed on full sets; then, where members are still apart, all pairs that look similar.
+* A larger node is first compared with one leader, the member of least hashed id.  Without a main component
+  it goes ``step`` levels deeper, where unrelated members part, down to ``depth``.
+* A larger node with a component of half its members, or at full depth, is dense, and so is a smaller one
+  with more similar-looking pairs than ``pairs_each`` for each member.  Large ones are compared with a few
+  more leaders.  Then the members outside the main component are the queries: they and all members are cut
+  into blocks of at most about ``block_bytes`` of text and ``block_rows`` members, and each block of queries meets each block of members
+  in one matrix product over full sets.  So no pair that meets at such a node is skipped, no group is
+  collected anywhere, and a text is sent once for each opposing block, not for each partner.
+
+A node whose members are one component needs no further comparison, and only pairs between components
+are compared.  Texts are fetched for the classes that have a similar-looking partner or lie in a large node.
+Links between components so far are joined in one task
 while there are at most ``one_task`` of them, and beyond by passing on the least label, in tables.  Texts are joined by sort-merge at every size.  Every round is written to the shared folder, so lost executors cost one round at most.
 
-The recall of a pair at the threshold similarity is at least 1 - (1 - s**first)**trees.
+Two sets of similarity s meet at level ``first`` of some tree with probability 1 - (1 - s**first)**trees at
+least.  A pair that parts from its node only below, because the node is large and loose, has to meet again
+``step`` levels down.  There each node doubles its path with probability ``branch``: the pair survives all eight
+levels of a tree with probability 0.58 at a similarity of 0.85 (0.47 at 0.80), so 12 trees miss it with probability
+0.005 (20 trees at 0.80: 0.004).
+The tests measure both: pairs at the threshold, and a whole run in which every node is large and loose.
 
 Defined results: a null or empty text has no shingles and is its own component; a row with a null id
 is not compared, gets a null component and is kept; rows with the same id are compared each by its
@@ -32,13 +39,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from . import chosen_path as kernel
-from .common import discard, written
+from .common import discard, scratch, written
 
 
 @dataclass(frozen=True)
@@ -46,11 +55,14 @@ class Join:
     percent: int = 85
     trees: int = 12
     first: int = 3
-    step: int = 2
+    step: int = 8
     depth: int = 11
     branch: float = 0.3
     small: int = 256
     leaders: int = 4
+    pairs_each: int = 4
+    block_bytes: int = 8_000_000
+    block_rows: int = 2048
     one_task: int = 500_000
 
     @property
@@ -81,7 +93,7 @@ def _key() -> list:
 
 
 def describe(docs: DataFrame, how: Join) -> DataFrame:
-    """``doc_id, h, n, s1, s2, sketch, nodes`` of each row of ``docs(doc_id, text)``; no nodes without words."""
+    """``doc_id, h, n, s1, s2, bytes, sketch, nodes`` of each row of ``docs(doc_id, text)``; no nodes without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -94,12 +106,12 @@ def describe(docs: DataFrame, how: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array([r.tobytes() for r in kernel.sketch(signatures)], pa.binary()), _lists(doc[filled], node[filled], len(sets)),
+                    pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64()), pa.array([r.tobytes() for r in kernel.sketch(signatures)], pa.binary()), _lists(doc[filled], node[filled], len(sets)),
                 ],
-                names=["doc_id", "h", "n", "s1", "s2", "sketch", "nodes"],
+                names=["doc_id", "h", "n", "s1", "s2", "bytes", "sketch", "nodes"],
             )
 
-    return docs.select(*_key(), "text").mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, sketch binary, nodes array<long>")
+    return docs.select(*_key(), "text").mapInArrow(run, "doc_id long, h long, n long, s1 long, s2 long, bytes long, sketch binary, nodes array<long>")
 
 
 def deeper(texts: DataFrame, how: Join) -> DataFrame:
@@ -112,14 +124,15 @@ def deeper(texts: DataFrame, how: Join) -> DataFrame:
             doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             node = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             doc, node = kernel.descend(doc, node, signatures, how.step, how.branch)
-            reps = batch.column(0).to_numpy(zero_copy_only=False)[doc]
+            doc, node = np.unique(np.stack([doc.astype(np.uint64), node]), axis=1)
+            reps = batch.column(0).to_numpy(zero_copy_only=False)[doc.astype(np.int64)]
             yield pa.RecordBatch.from_arrays([_longs(node), pa.array(reps, pa.int64())], names=["node", "rep"])
 
-    return texts.select("rep", "text", "nodes").mapInArrow(run, "node long, rep long").distinct()
+    return texts.select("rep", "text", "nodes").mapInArrow(run, "node long, rep long")
 
 
-def _agree(pairs: DataFrame, sketches: DataFrame, how: Join) -> DataFrame:
-    """``a, b`` of the pairs whose sketches agree enough."""
+def _agree(pairs: DataFrame, how: Join) -> DataFrame:
+    """``a, b`` of the pairs ``a, b, x, y`` whose sketches x and y agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +140,7 @@ def _agree(pairs: DataFrame, sketches: DataFrame, how: Join) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, kernel.SKETCH) for i in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= how.agreeing))
 
-    one = sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x"))
-    two = sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, how: Join) -> DataFrame:
@@ -203,92 +214,128 @@ def components(labels: DataFrame, links: DataFrame, how: Join) -> DataFrame:
     roots = _roots_in_one_task(edges) if few <= how.one_task else _roots_in_tables(edges)
     out = written(labels.join(roots.select(F.col("u").alias("comp"), "root"), "comp", "left").select("rep", F.coalesce("root", "comp").alias("comp")), "labels")
     discard(roots, edges, labels)
-    _clean(labels.sparkSession)
     return out
 
 
-def _clean(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done."""
-    spark.sparkContext._jvm.System.gc()
+def sketch_pairs(members: DataFrame, how: Join, spanning: bool) -> DataFrame:
+    """``node, a, b``: pairs of a node's ``members(node, rep, comp, sketch)`` in different components that look similar.
+
+    With ``spanning`` only those of a spanning forest, the most similar first; else all, and one row
+    without a pair for a node with more than ``pairs_each`` pairs for each member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            reps, comps = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "comp"))
+            sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, kernel.SKETCH)
+            found: list[tuple[int, int | None, int | None]] = []
+            for node, start, end in zip(batch.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                a, b = kernel.look_similar(comps[start:end], sketches[start:end], how.agreeing, spanning)
+                if spanning or len(a) <= how.pairs_each * (end - start):
+                    found += zip([node] * len(a), reps[start:end][a].tolist(), reps[start:end][b].tolist())
+                else:
+                    found.append((node, None, None))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["node", "a", "b"])
+
+    return members.groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("members")).mapInArrow(run, "node long, a long, b long")
+
+
+def _some(rows: DataFrame) -> bool:
+    """Whether a written table has rows."""
+    return rows.limit(1).count() > 0
 
 
 class _Search:
-    """State of one join: what is written so far."""
+    """State of one join: what is written so far.  Steps without rows are not taken."""
 
-    def __init__(self, sketches: DataFrame, texts: DataFrame, how: Join):
-        self.sketches, self.texts, self.how = sketches, texts, how
+    def __init__(self, sketches: DataFrame, how: Join):
+        self.sketches, self.how = sketches, how
         self.labels = written(sketches.select("rep", F.col("rep").alias("comp")), "labels")
-        self.tried: DataFrame | None = None
+        self.texts: DataFrame | None = None
+        self.tried: list[DataFrame] = []
 
-    def compare(self, pairs: DataFrame) -> None:
-        """Compare ``pairs(a, b)`` that have not been compared, and join components along links."""
+    def new_pairs(self, pairs: DataFrame) -> DataFrame:
+        """``a, b`` of ``pairs(a, b)`` that have not been compared, written."""
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tried is not None:
-            ordered = ordered.join(self.tried, ["a", "b"], "left_anti")
-        new = written(ordered, "pairs")
-        self.tried = new if self.tried is None else self.tried.unionByName(new)
-        links = written(_confirmed(_agree(new, self.sketches, self.how), self.texts, self.how), "links")
-        self.labels = components(self.labels, links, self.how)
+        if self.tried:
+            ordered = ordered.join(reduce(DataFrame.unionByName, self.tried), ["a", "b"], "left_anti")
+        self.tried.append(written(ordered, "pairs"))
+        return self.tried[-1]
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Confirm written ``pairs`` on full sets and join components along links."""
+        if _some(pairs):
+            self.join(_confirmed(pairs, self.texts, self.how))
+
+    def join(self, links: DataFrame) -> None:
+        links = written(links, "links")
+        if _some(links):
+            self.labels = components(self.labels, links, self.how)
         discard(links)
 
+    def named(self, nodes: DataFrame) -> DataFrame:
+        """``node, rep, n, comp, bytes, sketch``, written."""
+        return written(nodes.select("node", "rep", "n").join(self.labels, "rep").join(self.sketches, "rep"), "named-nodes")
+
     def open(self, nodes: DataFrame) -> DataFrame:
-        """``node, rep, n, comp`` of the nodes whose members are not one component."""
-        named = nodes.join(self.labels, "rep")
+        """:meth:`named` for the nodes whose members are not one component."""
+        named = self.named(nodes)
         split = named.groupBy("node").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("node")
-        return written(named.join(split, "node", "left_semi").select("node", "rep", "n", "comp"), "open-nodes")
-
-    def with_leaders(self, nodes: DataFrame) -> None:
-        """Compare each node's members with its leader, unless they are in one component already."""
-        named = nodes.select("node", "rep").join(self.labels, "rep")
-        lead = named.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "comp")).alias("lead"))
-        pairs = named.join(lead, "node").where(F.col("comp") != F.col("lead.comp"))
-        self.compare(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b")))
-
-    def parted(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Dense nodes, where one component has half of the members or more, and the others."""
-        main = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("2 * k >= n").select("node").distinct()
-        return written(nodes.join(main, "node", "left_semi"), "dense-nodes"), written(nodes.join(main, "node", "left_anti"), "loose-nodes")
-
-    def exhaustively(self, nodes: DataFrame) -> None:
-        """Compare all members of ``nodes(node, rep, n, comp)``; a node is one row of at most ``small`` texts."""
-        self._compare_groups(nodes.join(self.texts.hint("merge"), "rep"), ["node"])
-
-    def _compare_groups(self, members: DataFrame, keys: list[str]) -> None:
-        """Compare the ``members(rep, comp, text)`` of each group with each other, by matrix products."""
-        percent = self.how.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for group in batch.column(0):
-                    rows = group.as_py()
-                    found += kernel.joining_links([r["rep"] for r in rows], [r["comp"] for r in rows], [kernel.shingles(r["text"]) for r in rows], percent)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-        groups = members.groupBy(*keys).agg(F.collect_set(F.struct("rep", "comp", "text")).alias("members"))
-        links = written(groups.select("members").mapInArrow(run, "a long, b long").distinct(), "links")
-        self.labels = components(self.labels, links, self.how)
-        discard(links)
-
-    @staticmethod
-    def _outside(nodes: DataFrame) -> DataFrame:
+        out = written(named.join(split, "node", "left_semi"), "open-nodes")
+        discard(named)
+        return out
+
+    def of_sketches(self, named: DataFrame, spanning: bool) -> DataFrame:
+        """:func:`sketch_pairs` of the nodes of at most ``small`` members."""
+        return sketch_pairs(named.where(F.col("n") <= self.how.small), self.how, spanning)
+
+    def of_leaders(self, named: DataFrame) -> DataFrame:
+        """``a, b``: members of larger nodes and their leader, if in different components and similar by sketch."""
+        large = named.where(F.col("n") > self.how.small)
+        lead = written(large.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "comp", "sketch")).alias("lead")), "node-leaders")
+        pairs = large.join(lead, "node").where(F.col("comp") != F.col("lead.comp"))
+        return _agree(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), F.col("sketch").alias("x"), F.col("lead.sketch").alias("y")), self.how)
+
+    def first_pairs(self, nodes: DataFrame) -> DataFrame:
+        named = self.named(nodes)
+        pairs = self.of_sketches(named, True).select("a", "b")
+        if _some(named.where(F.col("n") > self.how.small)):
+            pairs = pairs.unionByName(self.of_leaders(named))
+        out = self.new_pairs(pairs)
+        discard(named)
+        return out
+
+    def with_kind(self, nodes: DataFrame, deepest: bool) -> DataFrame:
+        """The larger nodes with ``dense``: whether one component has half of the members or more, or no level is below."""
+        large = nodes.where(F.col("n") > self.how.small)
+        if deepest:
+            return large.withColumn("dense", F.lit(True))
+        main = large.groupBy("node", "comp").agg(F.count("*").alias("k"), F.max("n").alias("n")).where("2 * k >= n").select("node", F.lit(True).alias("dense")).distinct()
+        return written(large.join(main, "node", "left").withColumn("dense", F.coalesce("dense", F.lit(False))), "large-nodes")
+
+    def outside(self, nodes: DataFrame) -> DataFrame:
         """The members that are not in their node's main component."""
         sizes = nodes.groupBy("node", "comp").agg(F.count("*").alias("k"))
-        main = sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m")).select("node", F.col("m.comp").alias("main"))
-        return nodes.join(main, "node").where("comp <> main").select("node", "rep", "comp")
-
-    def dense(self, nodes: DataFrame) -> None:
-        """``nodes(node, rep, n, comp)``: large nodes with a main component or at full depth."""
-        ranked = self._outside(nodes).withColumn("h", F.xxhash64("rep")).selectExpr("node", "rep", "comp", "row_number() OVER (PARTITION BY node ORDER BY h, rep) AS k")
-        chosen = written(ranked.where(F.col("k") <= self.how.leaders).select("node", F.col("rep").alias("b"), F.col("comp").alias("other")), "node-leaders")
-        self.compare(nodes.select("node", F.col("rep").alias("a"), "comp").join(chosen, "node").where("comp <> other").select("a", "b"))
-        nodes = self.open(nodes.drop("comp"))
-        queries = written(self._outside(nodes), "node-queries")
-        if not queries.limit(1).count():
-            return
-        size = self.how.small
-        counts = queries.groupBy("node").agg(F.ceil(F.count("*") / size).cast("int").alias("q_blocks")).join(nodes.groupBy("node").agg(F.ceil(F.count("*") / size).cast("int").alias("m_blocks")), "node")
+        main = written(sizes.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("m")).select("node", F.col("m.comp").alias("main")), "main-components")
+        return nodes.join(main, "node").where("comp <> main").drop("main")
+
+    def of_more_leaders(self, dense: DataFrame) -> DataFrame:
+        """``a, b``: members of dense nodes and a few outside the main component, similar by sketch."""
+        ranked = self.outside(dense).withColumn("h", F.xxhash64("rep")).selectExpr("node", "rep", "comp", "sketch", "row_number() OVER (PARTITION BY node ORDER BY h, rep) AS k")
+        chosen = written(ranked.where(F.col("k") <= self.how.leaders).select("node", F.col("rep").alias("b"), F.col("comp").alias("other"), F.col("sketch").alias("y")), "node-leaders")
+        pairs = dense.select("node", F.col("rep").alias("a"), "comp", F.col("sketch").alias("x")).join(chosen, "node").where("comp <> other")
+        return _agree(pairs, self.how)
+
+    def in_blocks(self, nodes: DataFrame) -> None:
+        """Compare the members of ``nodes(node, rep, n, comp, bytes)`` outside the main component with all, on full sets."""
+        how = self.how
+        queries = written(self.outside(nodes).select("node", "rep", "comp", "bytes"), "node-queries")
+        blocks = F.ceil(F.greatest(F.sum("bytes") / how.block_bytes, F.count("*") / how.block_rows)).cast("int")
+        counts = queries.groupBy("node").agg(blocks.alias("q_blocks")).join(nodes.groupBy("node").agg(blocks.alias("m_blocks")), "node")
         counts = written(counts, "node-blocks")
 
         def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
@@ -296,9 +343,25 @@ class _Search:
             each = rows.select("node", "rep", "comp").join(counts, "node").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
             return each.select("node", "rep", "comp", "own", "other")
 
-        asked = spread(queries, "q_blocks", "m_blocks").select("node", F.col("own").alias("q"), F.col("other").alias("m"), "rep", "comp")
-        there = spread(nodes, "m_blocks", "q_blocks").select("node", F.col("other").alias("q"), F.col("own").alias("m"), "rep", "comp")
-        self._compare_groups(asked.unionByName(there).join(self.texts.hint("merge"), "rep"), ["node", "q", "m"])
+        asked = spread(queries, "q_blocks", "m_blocks").select("node", F.col("own").alias("q"), F.col("other").alias("m"), "rep", "comp", F.lit(True).alias("asks"))
+        there = spread(nodes, "m_blocks", "q_blocks").select("node", F.col("other").alias("q"), F.col("own").alias("m"), "rep", "comp", F.lit(False).alias("asks"))
+        members = asked.unionByName(there).join(self.texts.hint("merge"), "rep")
+        groups = members.groupBy("node", "q", "m").agg(F.collect_list(F.struct("rep", "comp", "asks", "text")).alias("members"))
+        self.join(groups.select("members").mapInArrow(_block_links(how.percent), "a long, b long").distinct())
+        discard(queries, counts)
+
+
+def _block_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in batch.column(0):
+                rows = group.as_py()
+                sides = [[r for r in rows if r["asks"] is asks] for asks in (True, False)]
+                found = kernel.joining_links(*([(r["rep"], r["comp"], kernel.shingles(r["text"])) for r in side] for side in sides), percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return run
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -310,41 +373,61 @@ def _shared(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def _linked(docs: DataFrame, how: Join) -> DataFrame:
-    """``doc_id, h, n, component_id``; ``h`` tells texts with the same id apart."""
-    spark = docs.sparkSession
-    rows = written(describe(docs, how), "described")
-    known = rows.where("doc_id IS NOT NULL AND n > 0")
-    one = F.min(F.struct("doc_id", "h", "sketch", "nodes")).alias("m")
-    classes = written(known.groupBy("s1", "s2", "n").agg(one, F.count("*").alias("copies")).select(F.col("s1").alias("rep"), "s2", "m.*", "copies"), "classes")
+def _component_labels(classes: DataFrame, docs: DataFrame, how: Join) -> DataFrame:
+    """``rep, comp`` of the classes that share a node with another, written."""
     nodes = _shared(classes.select(F.explode(F.array_distinct("nodes")).alias("node"), "rep"))
-    involved = written(classes.select("rep", "doc_id", "h").join(nodes.select("rep").distinct(), "rep", "left_semi"), "involved")
-    texts = written(docs.select(*_key(), "text").join(involved.hint("merge"), ["doc_id", "h"]).groupBy("rep").agg(F.max("text").alias("text")), "texts")
-    sketches = written(classes.select("rep", "sketch").join(involved, "rep", "left_semi"), "sketches")
-    _clean(spark)
-    search, depth = _Search(sketches, texts, how), how.first
+    sketches = written(classes.select("rep", "bytes", "sketch").join(nodes.select("rep").distinct(), "rep", "left_semi"), "sketches")
+    search, depth = _Search(sketches, how), how.first
     while True:
-        search.with_leaders(nodes)
+        pairs = search.first_pairs(nodes)
+        if search.texts is None:
+            needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(nodes.where(F.col("n") > how.small).select("rep")).distinct()
+            needed = written(classes.select("rep", "doc_id", "h").join(needed, "rep", "left_semi"), "involved")
+            search.texts = written(docs.select(*_key(), "text").join(needed.hint("merge"), ["doc_id", "h"]).groupBy("rep").agg(F.max("text").alias("text")), "texts")
+            discard(needed)
+        search.compare(pairs)
         unsolved = search.open(nodes)
         discard(nodes)
-        search.exhaustively(unsolved.where(F.col("n") <= how.small))
-        large = search.open(unsolved.where(F.col("n") > how.small).drop("comp"))
-        if not large.limit(1).count():
-            break
-        if depth >= how.depth:
-            search.dense(large)
-            break
-        dense, loose = search.parted(large)
-        search.dense(dense)
-        if not loose.limit(1).count():
-            break
-        lists = loose.groupBy("rep").agg(F.collect_set("node").alias("nodes"))
-        nodes = _shared(deeper(texts.join(lists, "rep"), how))
+        if not _some(unsolved):
+            return search.labels
+        large = search.with_kind(unsolved, depth >= how.depth)
+        dense = large.where("dense").drop("dense")
+        some_dense = _some(dense)
+        close = written(search.of_sketches(unsolved, False), "close-pairs")
+        pairs = close.where("a IS NOT NULL").select("a", "b")
+        search.compare(search.new_pairs(pairs.unionByName(search.of_more_leaders(dense)) if some_dense else pairs))
+        crowded = unsolved.join(close.where("a IS NULL").select("node"), "node", "left_semi")
+        if some_dense or _some(crowded):
+            crowded = search.open(crowded.unionByName(dense) if some_dense else crowded)
+            if _some(crowded):
+                search.in_blocks(crowded)
+        loose = large.where("NOT dense").drop("dense")
+        if not _some(loose):
+            return search.labels
+        lists = written(search.open(loose).groupBy("rep").agg(F.collect_set("node").alias("nodes")), "loose-members")
+        texts = written(search.texts.join(lists.hint("merge"), "rep"), "loose-texts")
+        discard(search.texts, unsolved, close, crowded, large, lists)
+        nodes, search.texts = _shared(deeper(texts, how)), texts.select("rep", "text")
+        search.texts._sieveworks_path = texts._sieveworks_path
         depth += how.step
-    named = classes.join(search.labels, "rep", "left").select(F.col("rep").alias("s1"), "s2", F.coalesce("comp", "rep").alias("comp"), "doc_id", "copies")
+
+
+def _linked(docs: DataFrame, how: Join) -> DataFrame:
+    """``doc_id, h, n, component_id``; ``h`` tells texts with the same id apart."""
+    described = written(describe(docs, how), "described")
+    rows = written(described.select("doc_id", "h", "n", "s1", "s2"), "set-keys")
+    known = described.where("doc_id IS NOT NULL AND n > 0")
+    one = F.min(F.struct("doc_id", "h", "bytes", "sketch", "nodes")).alias("m")
+    classes = written(known.groupBy("s1", "s2", "n").agg(one, F.count("*").alias("copies")).select(F.col("s1").alias("rep"), "s2", "m.*", "copies"), "classes")
+    discard(described)
+    with scratch(docs.sparkSession) as keep:
+        labels = _component_labels(classes, docs, how)
+        keep(labels)
+    named = classes.join(labels, "rep", "left").select(F.col("rep").alias("s1"), "s2", F.coalesce("comp", "rep").alias("comp"), "doc_id", "copies")
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component"), F.sum("copies").alias("rows")).where("rows > 1").drop("rows")
     joined = written(named.join(least, "comp").select("s1", "s2", "component"), "joined-classes")
-    out = rows.select("doc_id", "h", "n", "s1", "s2").join(joined, ["s1", "s2"], "left")
+    discard(classes, labels)
+    out = rows.join(joined, ["s1", "s2"], "left")
     linked = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "h", "n", linked.alias("component_id"))
 
