@@ -7,7 +7,8 @@ blocks given to a source differ from its weight times the slots so far by less t
 
 Weights are exact fractions, releases and deadlines whole numbers computed from them, and every block that
 exists is scheduled, so the deviation does not grow with the corpus.  One task writes the schedule, a row
-per block, in a stream; it holds a row per source.  Blocks of a source that has run out are not scheduled;
+per block, in a stream; it holds a row per source.  Blocks are as much larger as it takes for ``most_blocks`` of
+them to hold the corpus (from 1 TiB on), so that task's work is bounded; the deviation stays below one block.  Blocks of a source that has run out are not scheduled;
 the windows of the others do not move.
 
 Block numbers need a running sum of bytes inside each source.  A source is cut into buckets by
@@ -48,6 +49,7 @@ class Mix:
     weights: dict[str, float] | None = None
     temper: float = 0.5
     block_bytes: int = 65536
+    most_blocks: int = 1 << 24
     period: int = 1024
     buckets: int = 32
     bucket_bytes: int = 64 << 20
@@ -133,6 +135,7 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source", carry: l
     key, second = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
     whole_bytes = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    block_bytes = max(how.block_bytes, -(-whole_bytes // how.most_blocks))
     buckets = max(how.buckets, -(-whole_bytes // how.bucket_bytes))
     bucket = F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int")
     rows = docs.select(_source_key(F.col(source)).alias("_source"), bucket.alias("_bucket"), key.alias("_key"), second.alias("_second"), size.alias("_size"), whole)
@@ -148,7 +151,7 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source", carry: l
 
     # bounded by max_sources
     named = totals.join(F.broadcast(single), "_source", "left").withColumn("_stream", F.coalesce("_known", F.lit("rest")))
-    blocks = {r["_stream"]: -(-r["bytes"] // how.block_bytes) for r in named.groupBy("_stream").agg(F.sum("_total").alias("bytes")).collect()}
+    blocks = {r["_stream"]: -(-r["bytes"] // block_bytes) for r in named.groupBy("_stream").agg(F.sum("_total").alias("bytes")).collect()}
     if "rest" in blocks:
         others = named.where("_stream = 'rest'").groupBy("_source").agg(F.sum("_total").alias("bytes")).agg(F.sum(F.pow(F.col("bytes").cast("double"), F.lit(how.temper))))
         weights["rest"] = others.first()[0] if how.weights is None else min(weights.values(), default=1.0)
@@ -157,14 +160,14 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source", carry: l
     # what a bucket needs of the schedule: the blocks from its first byte to its last
     before = Window.partitionBy("_stream").orderBy("_bucket", "_source").rowsBetween(Window.unboundedPreceding, -1)
     bases = named.withColumn("_base", F.coalesce(F.sum("_total").over(before), F.lit(0).cast("long")))
-    met = F.sequence(F.expr(f"_base div {how.block_bytes}"), F.expr(f"(_base + _total - 1) div {how.block_bytes}"))
+    met = F.sequence(F.expr(f"_base div {block_bytes}"), F.expr(f"(_base + _total - 1) div {block_bytes}"))
     spans = bases.select("_source", "_bucket", "_stream", "_base", F.explode(met).alias("_block")).join(slots, ["_stream", "_block"])
     plans = spans.groupBy("_source", "_bucket").agg(F.min("_base").alias("_base"), F.array_sort(F.collect_list(F.struct("_block", "_r", "_d", "_t"))).alias("_plan"))
 
     inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_second")
     summed = rows.withColumn("_upto", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = summed.join(plans, ["_source", "_bucket"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("_size"))
-    placed = placed.withColumn("_block", F.expr(f"_start div {how.block_bytes}")).withColumn("_at", F.expr("get(_plan, cast(_block - _plan[0]._block AS int))"))
+    placed = placed.withColumn("_block", F.expr(f"_start div {block_bytes}")).withColumn("_at", F.expr("get(_plan, cast(_block - _plan[0]._block AS int))"))
     return placed.select("_row", "_source", "_start", "_block", F.col("_at._r").alias("_release"), F.col("_at._d").alias("_deadline"), F.col("_at._t").alias("_slot"))
 
 
