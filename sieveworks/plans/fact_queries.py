@@ -291,14 +291,25 @@ def scan_sections(spark, sf):
     return scan.sections(_tree(spark, sf)).select("place", "layer", "section", "title", "detected", "summary", "evidence_total")
 
 
-@query(f"WITH {_KINDS}, s AS ({_SECTION_ROWS}), t AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in LAYERS.items())}) v(layer, title)) SELECT s.layer, t.title, count(*) AS sections, count(*) FILTER (detected) AS detected FROM s JOIN t USING (layer) GROUP BY s.layer, t.title")
+_LAYER_IDS = list(LAYERS)
+_LAYER_CASE = "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {_quoted(x)}" for i, x in enumerate(_LAYER_IDS)) + " END"
+_PART_SECTIONS = f"s AS (SELECT {_LAYER_CASE} AS layer, p_partkey AS place, lower(p_brand) AS section, p_size > 20 AS detected, p_type AS summary FROM part)"
+
+
+def _part_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """A section table of any size: a section for each part."""
+    layer = F.get(F.array(*[F.lit(x) for x in _LAYER_IDS]), (F.col("p_partkey") % 9).cast("int"))
+    return _table(spark, sf, "part").select(layer.alias("layer"), F.col("p_partkey").alias("place"), F.lower("p_brand").alias("section"), (F.col("p_size") > 20).alias("detected"), F.col("p_type").alias("summary"))
+
+
+@query(f"WITH {_PART_SECTIONS}, t AS (SELECT * FROM (VALUES {', '.join(f'({_quoted(a)}, {_quoted(b)})' for a, b in LAYERS.items())}) v(layer, title)) SELECT t.layer, t.title, count(s.place) AS sections, count(*) FILTER (detected) AS detected FROM t LEFT JOIN s USING (layer) GROUP BY t.layer, t.title")
 def scan_layers(spark, sf):
-    return scan.layers(scan.sections(_tree(spark, sf)))
+    return scan.layers(_part_sections(spark, sf))
 
 
-@query(f"WITH {_KINDS}, s AS ({_SECTION_ROWS}) SELECT layer, place, printf('[%s] %-32s %s', CASE WHEN detected THEN '+' ELSE '-' END, section, summary) AS line FROM s")
+@query(f"WITH {_PART_SECTIONS} SELECT layer, place, printf('[%s] %-32s %s', CASE WHEN detected THEN '+' ELSE '-' END, section, summary) AS line FROM s")
 def scan_section_lines(spark, sf):
-    return formats.section_lines(scan.sections(_tree(spark, sf)))
+    return formats.section_lines(_part_sections(spark, sf))
 
 
 @query("""WITH f AS (SELECT 'core/src/main/java/B' || s_suppkey || '.kt' AS path FROM supplier WHERE s_suppkey % 4 = 1), r AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal, least(200, count(*) OVER ()) AS total FROM f),

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from sieveworks import session
 from sieveworks.operators.grep import Rule
 from sieveworks.plans import queries
 from sieveworks.streaming.rescan import follow
@@ -18,6 +19,16 @@ def test_every_sql_has_a_query():
     assert set(queries.SQL) <= set(queries.QUERIES) and len(queries.QUERIES) >= 45
 
 
+def test_sessions_keep_a_given_master(monkeypatch):
+    for name in ("MASTER", "PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS"):
+        monkeypatch.delenv(name, raising=False)
+    assert not session._master_given()
+    for name, value in (("PYSPARK_GATEWAY_PORT", "1"), ("MASTER", "yarn"), ("PYSPARK_SUBMIT_ARGS", "--master yarn pyspark-shell"), ("PYSPARK_SUBMIT_ARGS", "--conf spark.master=yarn pyspark-shell")):
+        with monkeypatch.context() as m:
+            m.setenv(name, value)
+            assert session._master_given()
+
+
 def test_entry_imports_without_the_optional_part():
     code = "import sys\nfor m in ('sieveworks.llm', 'corpus_pipeline'): sys.modules[m] = None\nimport __spark_entry__ as e\nassert 'pipeline' not in e.queries() and len(e.queries()) == len(e.base.QUERIES)"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
