@@ -114,27 +114,28 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - shift
 
 
-def binomial_tail(n: Column, k: Column, rate: float, terms: int = 400) -> Column:
-    """Upper bound of P(Binomial(n, rate) <= k), exact up to rounding when k < ``terms``.
+def binomial_tail(n: Column, k: Column, rate: float) -> Column:
+    """P(Binomial(n, rate) <= k) below the mean, to double precision; 1 at or above it, which certifies nothing.
 
-    Terms are summed downwards from k; those left out are bounded by a geometric series.  At or
-    above the mean the bound is 1, which certifies nothing.
+    Terms are summed downwards from k.  Each is at most the first ratio times the one before, so the
+    number of terms that tell in 17 digits is known beforehand; it never exceeds k.
     """
     n, k = n.cast("double"), k.cast("double")
     odds = (1 - rate) / rate
 
-    def total(first: Column) -> Column:
-        steps = F.sequence(F.lit(0), F.least(k, F.lit(terms)).cast("int"))
+    def total(s: Column) -> Column:
+        ratio = F.greatest(s["k"] / (s["n"] - s["k"] + 1) * odds, F.lit(1e-300))
+        steps = F.sequence(F.lit(0), F.least(s["k"], F.ceil(-40 / F.log(F.least(ratio, F.lit(1 - 1e-12)))).cast("double")).cast("int"))
         run = F.aggregate(
             steps,
             F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("sum")),
-            lambda a, j: F.struct((a["term"] * (k - j) / (n - k + j + 1) * odds).alias("term"), (a["sum"] + a["term"]).alias("sum")),
+            lambda a, j: F.struct((a["term"] * (s["k"] - j) / (s["n"] - s["k"] + j + 1) * odds).alias("term"), (a["sum"] + a["term"]).alias("sum")),
         )
-        rest = run["term"] / F.greatest(F.lit(1e-9), 1 - k / (n - k + 1) * odds)
-        return F.least(F.lit(1.0), F.exp(first) * (run["sum"] + rest))
+        first = log_gamma(s["n"] + 1) - log_gamma(s["k"] + 1) - log_gamma(s["n"] - s["k"] + 1) + s["k"] * F.log(F.lit(rate)) + (s["n"] - s["k"]) * F.log(F.lit(1 - rate))
+        return F.least(F.lit(1.0), F.exp(first) * run["sum"])
 
-    first = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * F.log(F.lit(rate)) + (n - k) * F.log(F.lit(1 - rate))
-    return F.when(n <= 0, F.lit(1.0)).when(k >= n * rate, F.lit(1.0)).otherwise(total(first))
+    below = F.when((n > 0) & (k < n * rate), F.struct(n.alias("n"), k.alias("k")))
+    return F.coalesce(let(below, lambda s: F.when(s.isNotNull(), total(s))), F.lit(1.0))
 
 
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, how: Risk = Risk()) -> DataFrame:
@@ -148,7 +149,7 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, how: Risk = Risk()) -> D
     counts = [F.count("*").alias("n")]
     for name in RATIOS:
         counts += [F.sum((ratio(name) > c).cast("long")).alias(f"{name}_{i}") for i, c in enumerate(how.grid)]
-    per = held.groupBy("stratum").agg(*counts)
+    per = written(held.groupBy("stratum").agg(*counts), "strata-counts")
     strata = per.count()
     level = how.delta / max(1, strata * len(RATIOS))
     rate = how.alpha / len(RATIOS)
