@@ -5,8 +5,9 @@ host; counts roll up to the registered domain and to the suffix.  At each level
 model gives the spread of the children around their parent (moment estimate of the intra-class
 correlation), and the child's rate is shrunk to the parent's posterior mean with that strength:
 suffix to the overall rate, domain to its suffix, host to its domain.  A host without labelled pages
-counts none and takes its domain's posterior.  A host is blocked when the lower posterior bound of its
-bad rate exceeds ``max_bad``.
+counts none and takes its domain's posterior.  A host is blocked when its posterior, a beta distribution of that
+mean and variance, leaves a bad rate of ``max_bad`` or less a probability below ``doubt``: when the lower
+posterior bound of that level exceeds ``max_bad``.
 
 Defined results: a null url has an empty host and path, takes no rule and is judged like any host
 (the empty one).  Repeated rows give repeated rows; labels that occur more than once count each
@@ -21,9 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, let, written
+from .quality_rules import log_gamma
 
-#: Suffixes of two labels under which names are registered; other names end in a suffix of one.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Suffixes of two labels taken where no list is given; other names end in a suffix of one.
+SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 
 
 @dataclass(frozen=True)
@@ -39,10 +41,10 @@ class UrlRule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """``max_bad``: highest tolerated bad rate; ``z``: one-sided normal quantile of the bound."""
+    """``max_bad``: highest tolerated bad rate; ``doubt``: level of the lower posterior bound."""
 
     max_bad: float = 0.35
-    z: float = 1.645
+    doubt: float = 0.05
     min_rho: float = 1e-4
     max_rho: float = 0.5
 
@@ -65,22 +67,24 @@ def rule_for(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     return out
 
 
-def suffix_of(host: Column) -> Column:
-    """Public suffix of a host without its port: one label, or one of the listed pairs."""
+def suffix_of(host: Column, listed: list[str]) -> Column:
+    """Public suffix of a host without its port: the longest listed one that it ends in, else its last label."""
     bare = F.regexp_replace(host, ":[0-9]*$", "")
-    two = F.substring_index(bare, ".", -2)
-    return F.when(bare.rlike(r"^[0-9.]+$|^\["), F.lit("")).when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(bare, ".", -1))
+    known = F.array(*[F.lit(s) for s in sorted(listed)]).cast("array<string>")
+    labels = F.split(bare, "[.]")
+    endings = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    return F.when(bare.rlike(r"^[0-9.]+$|^\["), F.lit("")).otherwise(F.coalesce(F.get(F.filter(endings, lambda e: F.array_contains(known, e)), F.lit(0)), F.element_at(labels, -1)))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
     """The suffix and one label before it; an address or a bare suffix is its own domain."""
     bare = F.regexp_replace(host, ":[0-9]*$", "")
-    labels = F.when(suffix == "", F.lit(64)).otherwise(F.size(F.split(suffix, "[.]")) + 1)
+    labels = F.when(suffix == "", F.size(F.split(bare, "[.]"))).otherwise(F.size(F.split(suffix, "[.]")) + 1)
     parts = F.split(bare, "[.]")
-    return let(parts, lambda p: F.array_join(F.slice(p, F.greatest(F.lit(1), F.size(p) - labels + 1), 64), "."))
+    return let(parts, lambda p: F.array_join(F.slice(p, F.greatest(F.lit(1), F.size(p) - labels + 1), F.size(p)), "."))
 
 
-def host_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+def host_outcomes(pages: DataFrame, labels: DataFrame, suffixes: list[str]) -> DataFrame:
     """One row per host of a page: ``host, domain, suffix, n, k`` (labelled pages, bad ones; 0 without labels).
 
     ``pages(page_id, host)``, ``labels(page_id, bad boolean)``.
@@ -89,7 +93,32 @@ def host_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     joined = known.join(pages.where(F.col("page_id").isNotNull()), "page_id").select("host", "bad")
     every = joined.unionByName(pages.select("host", F.lit(None).cast("boolean").alias("bad")))
     counted = every.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"))
-    return counted.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    return counted.withColumn("suffix", suffix_of(F.col("host"), suffixes)).withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+
+
+def beta_cdf(x: float, a: Column, b: Column) -> Column:
+    """P(Beta(a, b) <= x) by the continued fraction, on the side where it converges; its terms grow with the
+    square root of a + b, as they need to."""
+
+    def fraction(s: Column) -> Column:
+        def step(t: Column, m: Column) -> Column:
+            even = m * (s["b"] - m) * s["x"] / ((s["a"] + 2 * m - 1) * (s["a"] + 2 * m))
+            odd = -(s["a"] + m) * (s["a"] + s["b"] + m) * s["x"] / ((s["a"] + 2 * m) * (s["a"] + 2 * m + 1))
+
+            def half(c: Column, d: Column, h: Column, term: Column):
+                return let(F.struct((1 + term / c).alias("c"), (1 / (1 + term * d)).alias("d"), h.alias("h")), lambda v: F.struct(v["c"].alias("c"), v["d"].alias("d"), (v["h"] * v["c"] * v["d"]).alias("h")))
+
+            return let(half(t["c"], t["d"], t["h"], even), lambda u: half(u["c"], u["d"], u["h"], odd))
+
+        first = 1 / (1 - (s["a"] + s["b"]) * s["x"] / (s["a"] + 1))
+        terms = F.sequence(F.lit(1), (100 + 5 * F.sqrt(s["a"] + s["b"])).cast("int"))
+        run = F.aggregate(terms, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step)
+        front = log_gamma(s["a"] + s["b"]) - log_gamma(s["a"]) - log_gamma(s["b"]) + s["a"] * F.log(s["x"]) + s["b"] * F.log(1 - s["x"])
+        return let(F.exp(front) * run["h"] / s["a"], lambda p: F.when(s["far"], 1 - p).otherwise(p))
+
+    far = F.lit(x) > (a + 1) / (a + b + 2)
+    sides = F.struct(far.alias("far"), F.when(far, b).otherwise(a).alias("a"), F.when(far, a).otherwise(b).alias("b"), F.when(far, F.lit(1 - x)).otherwise(F.lit(x)).alias("x"))
+    return let(sides, fraction)
 
 
 def _strength(children: DataFrame, mean: Column, how: Reputation) -> Column:
@@ -103,7 +132,7 @@ def _strength(children: DataFrame, mean: Column, how: Reputation) -> Column:
 
 
 def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFrame:
-    """``host, n, k, mean, bound``: posterior mean and lower bound of each host's bad rate.
+    """``host, n, k, mean, doubt``: posterior mean of each host's bad rate, and the probability that it is ``max_bad`` or less.
 
     What has no labels takes its parent's posterior mean, and its variance is that of a child of the parent
     plus the parent's own; where there are no labels at all there is no evidence, and no rows.
@@ -128,18 +157,20 @@ def host_reputation(hosts: DataFrame, how: Reputation = Reputation()) -> DataFra
     suffixes = shrunk(hosts.groupBy("suffix").agg(*roll), F.lit(rate), F.lit(rate * (1 - rate) / (total["n"] + 3))).select("suffix", *handed)
     domains = shrunk(hosts.groupBy("domain", "suffix").agg(*roll).join(suffixes, "suffix"), *above).select("domain", *handed)
     out = shrunk(hosts.join(domains, "domain"), *above)
-    return out.select("host", "n", "k", "mean", (F.col("mean") - how.z * F.sqrt("var")).alias("bound"))
+    size = F.col("mean") * (1 - F.col("mean")) / F.col("var") - 1
+    return out.select("host", "n", "k", "mean", beta_cdf(how.max_bad, F.col("mean") * size, (1 - F.col("mean")) * size).alias("doubt"))
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], how: Reputation = Reputation()) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], how: Reputation = Reputation(), suffixes: list[str] = list(SUFFIXES)) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for each row of ``pages(page_id, url)``.
 
-    ``labels(page_id, bad)`` are the outcomes.  Only blocked hosts are joined back; both sides of
+    ``labels(page_id, bad)`` are the outcomes, ``suffixes`` the public suffixes of more than one label, such
+    as the lines of a published list; they are part of the plan, as they are of a fixed size whatever the pages.  Only blocked hosts are joined back; both sides of
     that join are plain shuffles, so a host with a third of all pages is split by AQE.
     """
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    hosts = written(host_outcomes(split.select("page_id", "host"), labels), "hosts")
-    blocked = written(host_reputation(hosts, how).where(F.col("bound") > how.max_bad).select("host", F.lit(True).alias("_blocked")), "blocked-hosts")
+    hosts = written(host_outcomes(split.select("page_id", "host"), labels, suffixes), "hosts")
+    blocked = written(host_reputation(hosts, how).where(F.col("doubt") < how.doubt).select("host", F.lit(True).alias("_blocked")), "blocked-hosts")
     ruled = split.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     judged = ruled.join(blocked, "host", "left")
     method = F.when(F.col("_blocked"), F.lit("block")).otherwise(F.lit("allow"))
