@@ -63,6 +63,27 @@ def test_components_match_brute_force(spark, how):
     assert got == brute_components(docs)
 
 
+def test_recall_where_nodes_are_large_and_loose(spark):
+    """Boilerplate brings all documents together; pairs at the threshold have to be found levels below."""
+    rng = random.Random(77)
+    boiler = prose(rng, 130, 10_000)
+    docs, pairs = [], []
+    for i in range(250):
+        own = prose(rng, 110, 10**6).split()
+        other = list(own)
+        for k in rng.sample(range(110), rng.randrange(3, 5)):
+            other[k] = f"n{rng.randrange(10**6)}"
+        docs += [(2 * i, boiler + " " + " ".join(own)), (2 * i + 1, boiler + " " + " ".join(other))]
+        a, b = (shingle_set(t) for _, t in docs[-2:])
+        if 100 * len(a & b) >= 85 * len(a | b):
+            pairs.append(2 * i)
+    how = Join(small=8, block_rows=16)
+    got = {r["doc_id"]: r["component_id"] for r in link(spark.createDataFrame(docs, "doc_id long, text string"), how).collect()}
+    found = sum(got[i] == got[i + 1] == i for i in pairs)
+    assert len(pairs) > 150 and found >= 0.9 * len(pairs)
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     got = link(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -131,6 +152,9 @@ def test_documents_follow_the_schedule(spark, odd_docs, no_docs):
     assert few.count() == 400
     given = plan_mix(frame, Mix(weights={"hot": 0.1, "s2": 0.9}, block_bytes=1000, period=64))
     assert given.count() == 400
+    larger = plan_mix(frame, Mix(block_bytes=1000, most_blocks=10)).collect()
+    size = -(-sum(len(d[1]) for d in docs) // 10)
+    assert all(r["_block"] == r["_start"] // size for r in larger) and len({r["_slot"] for r in larger}) <= 10 + 6
     odd = mixed(odd_docs)
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count() and mixed(no_docs).count() == 0
 

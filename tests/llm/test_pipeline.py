@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -50,6 +51,26 @@ def test_stages_take_an_empty_table(spark, folder):
         assert stage(spark, docs, folder).count() == 0
 
 
+def test_stages_take_odd_rows(spark, folder, odd_docs, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows and clashing names go through all stages."""
+    docs, rows = odd_docs, None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, folder)
+        assert k == 4 or out.columns == odd_docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs, before = spark.read.parquet(f"{tmp_path}/{k}"), rows
+        rows = sorted((str(r["doc_id"]) for r in docs.collect()))
+        assert rows == {0: ["5", "6", "7", "7", "None"]}.get(k, ["5", "7", "7", "None"]) and (before is None or len(rows) <= len(before))
+
+
+def test_the_last_stage_needs_the_order_of_the_mix(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    with pytest.raises(ValueError, match="order of the mix"):
+        corpus_pipeline.token_records(spark, docs.groupBy("doc_id").agg(F.max("text").alias("text")), folder)
+    listed = spark.createDataFrame([(3, "a b"), (1, "c"), (2, None)], "doc_id long, text string").coalesce(1)
+    assert [r["doc_id"] for r in corpus_pipeline.token_records(spark, listed, folder).orderBy("start").collect()] == [3, 1, 2]
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names

@@ -2,7 +2,9 @@
 
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 from itertools import accumulate
+from math import ceil, floor
 from pathlib import Path
 
 import numpy as np
@@ -73,9 +75,27 @@ def test_token_records(spark, docs):
     assert {i: tuple(got[i])[1:] for i in got} == {i: (s, len(x), zlib.crc32(x.tobytes())) for i, x, s in zip(order, ids, starts)}
 
 
+def brute_schedule(weights, blocks):
+    """Slot by slot: of the next blocks that are released, the one due first (then the first name)."""
+    total, at, out, slot = sum(weights.values()), dict.fromkeys(weights, 0), {}, 0
+    while len(out) < sum(blocks.values()):
+        due = [(ceil((at[s] + 1) * total / w), s) for s, w in weights.items() if at[s] < blocks[s] and floor(at[s] * total / w) <= slot]
+        if due:
+            _, s = min(due)
+            out[s, at[s]] = slot
+            at[s] += 1
+        slot += 1
+    return out
+
+
 def test_mixing(spark, docs):
     got = rows(spark, "op9_mixing")
     assert set(got) == set(docs)
+    bytes_of = defaultdict(int)
+    for r in docs.values():
+        bytes_of[r["source"]] += len(r["text"].encode())
+    slots = brute_schedule({s: Fraction(float(n) ** 0.5) for s, n in bytes_of.items()}, {s: -(-n // 65536) for s, n in bytes_of.items()})
+    assert all(r["slot"] == slots[r["source"], r["block"]] for r in got.values())
     by = defaultdict(list)
     for i, r in got.items():
         by[r["source"]].append((r["start"], len(docs[i]["text"].encode()), r))

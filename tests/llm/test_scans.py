@@ -2,14 +2,16 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+import string
+from collections import Counter, defaultdict
 
 import pytest
 
 from sieveworks.llm.common import new_path
-from sieveworks.llm.secret_scan import Battery, base_spans, battery, cutoffs, encoding_of, evidence, find_secrets, sha256_of
+from sieveworks.llm.secret_scan import Battery, base_spans, battery, cutoffs, encoding_of, evidence, find_secrets, rival, runs, sha256_of
 from sieveworks.llm.url_filter import Reputation, UrlRule, filter_urls
 from sieveworks.llm.warc import Layout, chunked, parse, read_archives, reassemble, unchunk, write_archives
 
@@ -35,7 +37,8 @@ def test_base_spans(text):
 def test_battery_and_discovery_control(spark, odd_docs, no_docs):
     assert encoding_of(RANDOM64) == "base64" and encoding_of("ordinarywordsareplain") is None and encoding_of("1234567890" * 3) is None
     assert battery(RANDOM64, "base64") >= 0.01 and battery("AbAbAbAbAbAbAbAbAbAbAbAb1", "base62") < 0.01
-    assert evidence(RANDOM64, "base64") > 6 and evidence("ThisIsAnOrdinaryName01", "base62") < 2
+    assert evidence(RANDOM64, "base64", rival({})) > 6 and evidence("ThisIsAnOrdinaryName01", "base62", rival({})) < 2
+    assert list(runs(f"id-{RANDOM64} a_b-{'c' * 20}", 20)) == [(3, 3 + len(RANDOM64)), (4 + len(RANDOM64), 28 + len(RANDOM64))]
     assert cutoffs([(6, 0, 1000), (6, 9, 5), (5, 1, 10)], Battery(fdr=0.01)) == {6: 5}
     docs = [(1, f"key {RANDOM64} end"), (2, "ThisIsAnOrdinaryIdentifierName and CamelCaseWordsAreNotSecrets_ok"), (3, f"token = {RANDOM64}"), (4, None)]
     got = {r["doc_id"]: r for r in find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -45,6 +48,68 @@ def test_battery_and_discovery_control(spark, odd_docs, no_docs):
     assert find_secrets(odd_docs).count() == odd_docs.count() and find_secrets(no_docs).count() == 0
 
 
+def brute_random(texts, how):
+    """Spans of random strings, by the definitions: every p-value, then Benjamini-Hochberg by steps of ten."""
+    sets = [string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase]
+    sets += [string.ascii_letters + string.digits + x for x in ("", "+/", "-_")]
+    order = [string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase]
+    order += [string.ascii_uppercase + string.ascii_lowercase + string.digits + x for x in ("", "+/", "-_")]
+    prior = {c: 10_000 * s / len(cs) for cs, s in ((string.ascii_lowercase, 0.86), (string.ascii_uppercase, 0.08), (string.digits, 0.04), ("+/-_", 0.02)) for c in cs}
+    seen = Counter(c for t in texts.values() for c in t or "" if c in prior)
+    share = {c: (seen[c] + prior[c]) / (sum(seen.values()) + 10_000) for c in prior}
+    tested = []
+    for i, text in texts.items():
+        for m in re.finditer(r"[\w+/-]+={0,2}", text or "", re.A):
+            cut = re.split("[-_]", m[0]) if set(m[0]) & set("+/") and set(m[0]) & set("-_") else [m[0]]
+            at = m.start()
+            for part in cut:
+                a, b, at = at, at + len(part), at + len(part) + 1
+                body = part.rstrip("=")
+                chars = set(body)
+                if len(body) < how.min_chars or any(a < e and s < b for s, e, _ in brute_spans(text)) or len(chars) < 2:
+                    continue
+                if any(chars <= set(x) for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase)) or not any(chars <= set(x) for x in sets):
+                    continue
+                alphabet = next(x for x, y in zip(order, sets) if chars <= set(y))
+                n, size, codes = len(body), len(alphabet), [alphabet.index(c) for c in body]
+                chi = sum((codes.count(k) - n / size) ** 2 / (n / size) for k in range(size))
+                p = [0.5 * math.erfc((chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n) / 2**0.5)]
+                high = [c >= size // 2 for c in codes]
+                n1, n0 = sum(high), n - sum(high)
+                if n1 and n0:
+                    mean = 1 + 2 * n0 * n1 / n
+                    var = (mean - 1) * (mean - 2) / (n - 1)
+                    p.append(math.erfc(abs(1 + sum(x != y for x, y in zip(high, high[1:])) - mean) / math.sqrt(var) / 2**0.5) if var > 0 else 1)
+                else:
+                    p.append(2.0 ** (1 - n))
+                mid = (size - 1) / 2
+                p.append(math.erfc(abs(sum((x - mid) * (y - mid) for x, y in zip(codes, codes[1:]))) / ((size**2 - 1) / 12 * math.sqrt(n - 1)) / 2**0.5))
+                told = max(0.0, -sum(math.log10(share[c] * size) for c in body))
+                tested.append((i, a, b, len(bin(b - a)), int(told) if 3 * min(p) >= how.min_random else -1))
+    out = set()
+    for length in {t[3] for t in tested}:
+        steps = [t[4] for t in tested if t[3] == length]
+        good = [s for s in range(max(steps, default=0) + 1) if any(x >= s for x in steps) and 10.0**-s * len(steps) <= how.fdr * sum(x >= s for x in steps)]
+        out |= {t[:3] for t in tested if t[3] == length and good and t[4] >= min(good)}
+    return out
+
+
+def test_random_spans_match_brute_force(spark):
+    rng = random.Random(44)
+    alphabets = [string.hexdigits[:16], string.ascii_uppercase + "234567", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", string.ascii_lowercase, "ab01"]
+    texts = {0: None, 1: ""}
+    for i in range(2, 120):
+        words = [rng.choice(["the", "quick", "someIdentifierNameThatIsLong", "snake_case_name_of_some_length", "path/to/some-file/with_names", "1234567890" * 3, "AAAAAAAAAAAAAAAAAAAAAAAAa1"]) for _ in range(12)]
+        words += ["".join(rng.choice(rng.choice(alphabets[:5])) if rng.random() < 0.02 else rng.choice(a) for _ in range(rng.randrange(15, 70))) for a in rng.sample(alphabets, 2)]
+        words += [f"id-{''.join(rng.choice(alphabets[3]) for _ in range(30))}=="] * (i % 5 == 0) + ["token = secretvalue0123456789abcdefgh"] * (i % 7 == 0)
+        rng.shuffle(words)
+        texts[i] = " ".join(words)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for how in (Battery(), Battery(min_random=0.2, fdr=0.2, min_chars=24)):
+        got = {(r["doc_id"], *map(int, s.split(":")[1:])) for r in find_secrets(frame, how).collect() for s in r["spans"].split(",") if s.startswith("random")}
+        assert got == brute_random(texts, how) and len(got) > 20
+
+
 def test_framing():
     data = bytes(range(256)) * 40
     assert unchunk(chunked(data, 1000)) == data and unchunk(chunked(b"", 5)) == b""
@@ -89,6 +154,21 @@ def test_url_rules_and_reputation(spark):
     assert filter_urls(frame.limit(0), labels, rules, Reputation()).count() == 0
 
 
+def test_urls_of_any_length(spark):
+    urls = ["http://a.net/es/" + "x" * 200_000, "http://" + "h" * 100_000 + ".net/fr/", "x" * 100_000, "://" * 50_000]
+    rows = filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame([], "page_id long, bad boolean"), [UrlRule("net", "/es/", "block")]).orderBy("page_id").collect()
+    assert [(len(r["host"]), len(r["path"]), r["verdict"]) for r in rows] == [(5, 200_004, "block"), (100_004, 4, "allow"), (0, 0, "allow"), (1, 149_996, "allow")]
+
+
+@pytest.mark.parametrize("suffixes, expected", [([], "block"), (["uk.net"], "allow")])
+def test_listed_suffixes_part_domains(spark, suffixes, expected):
+    """Hosts below a listed suffix are no kin of each other's domain."""
+    pages = [(i, f"http://bad{i % 4}.uk.net/{i}") for i in range(80)] + [(100 + i, f"http://good{i}.net/{i}") for i in range(80)] + [(200, "http://new.uk.net/")]
+    labels = spark.createDataFrame([(i, i < 80) for i, _ in pages if i < 200], "page_id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels, [], suffixes=suffixes).collect()}
+    assert got[0] == "block" and got[100] == "allow" and got[200] in (expected, "block")
+
+
 def test_hosts_without_labels_take_their_domains_reputation(spark):
     names = {"new.bad.net": 1, "new.good.net": 1, "other.com": 1, "new.bad.net:8080": 1, "a.org": 1} | {f"{h}{i}.{d}.net": 20 for h in "xy" for i in range(3) for d in ("bad", "good")}
     pages = [(f"{h}/{j}", f"https://{h}/{j}") for h, n in names.items() for j in range(n)]

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from sieveworks.llm.decontaminate import Seeds, contamination, keep_clean
-from sieveworks.llm.line_dedup import Winnow, dedup_lines
+from sieveworks.llm.line_dedup import Winnow, dedup_lines, minima
 from sieveworks.llm.quality_rules import RATIOS, Risk, binomial_tail, fit_cutoffs, judge, keep_documents, measures
 
 from .conftest import prose
@@ -16,21 +16,28 @@ WS = "[\x20\x09-\x0d]+"
 
 
 def brute_lines(docs, how):
-    """Removed lines by comparing windows of worded lines in document order."""
+    """Removed lines by comparing windows of worded lines, and the lines beside them, in document order."""
     seen, out = {}, []
     for i, text in sorted(docs, key=lambda d: d[0]):
         lines = (text or "").split("\n")
         at = [k for k, x in enumerate(lines) if re.search("[^\x20\x09-\x0d]", x)]
-        windows = [(at[k : k + how.window], None) for k in range(len(at) - how.window + 1)]
-        windows += [([k], n) for n, k in enumerate(at) if len(lines[k].split()) >= how.long_words]
-        gone = set()
-        for w, n in sorted(windows, key=lambda x: x[0]):
-            beside = {} if n is None else {s: at[n + s] for s in (-1, 1) if 0 <= n + s < len(at)}
-            texts = {s: lines[k] for s, k in beside.items()}
-            key = tuple(lines[k] for k in w)
-            if key in seen:
-                gone |= set(w) | {k for s, k in beside.items() if seen[key].get(s) == texts[s]}
-            seen.setdefault(key, texts)
+        mine, gone = [lines[k] for k in at], set()
+        for f in range(len(at)):
+            t = next((t for t in range(f, len(at)) if t - f + 1 == how.window or sum(len(x.split()) for x in mine[f : t + 1]) >= how.long_words), None)
+            if t is None:
+                break
+            key = tuple(mine[f : t + 1])
+            if key not in seen:
+                seen[key] = mine, f, t
+                continue
+            other, g, u = seen[key]
+            low, high = f, t
+            for k in range(1, how.window):
+                if low == f - k + 1 and f - k >= 0 and g - k >= 0 and mine[f - k] == other[g - k]:
+                    low = f - k
+                if high == t + k - 1 and t + k < len(mine) and u + k < len(other) and mine[t + k] == other[u + k]:
+                    high = t + k
+            gone |= set(at[low : high + 1])
         out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone) if text is not None else None, sorted(gone)))
     return out
 
@@ -39,9 +46,24 @@ def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(1)
     pool = [prose(rng, rng.choice([3, 6, 30])) for _ in range(25)] + ["", " "]
     docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 14)))) for i in range(60)] + [(90, None)]
-    how = Winnow(3, 25)
-    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), how).orderBy("doc_id").collect()
-    assert [(r["doc_id"], r["text"], r["removed"]) for r in got] == brute_lines(docs, how)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for how in (Winnow(3, 25), Winnow(2, 10), Winnow(4, 60)):
+        got = dedup_lines(frame, how).orderBy("doc_id").collect()
+        expected = brute_lines(docs, how)
+        assert [(r["doc_id"], r["text"], r["removed"]) for r in got] == expected and any(x[2] for x in expected)
+
+
+def test_fingerprints_are_the_minima_of_windows(spark):
+    """Few lines are kept, each window has one, and what is repeated shares one."""
+    rng = random.Random(31)
+    base = [prose(rng, 6) for _ in range(400)]
+    docs = [(1, "\n".join(base)), (2, "\n".join([prose(rng, 6), *base[100:130], prose(rng, 6)]))]
+    how = Winnow(8, 10**6)
+    rows = minima(spark.createDataFrame(docs, "doc_id long, text string"), how).collect()
+    assert len(rows) < 0.4 * 432 and sum(len(r["_windows"]) for r in rows) == 400 - 7 + 32 - 7
+    assert all(r["_a"][r["_c"]] == r["_print"] == min(r["_a"][w["f"] : w["t"] + 1]) for r in rows for w in r["_windows"])
+    prints = [{r["_print"] for r in rows if r["_id"] == i} for i in (1, 2)]
+    assert len(prints[0] & prints[1]) >= 30 // 8
 
 
 def test_line_dedup_odd_rows(odd_docs, no_docs):
@@ -68,6 +90,57 @@ def test_decontamination_finds_substituted_passages(spark):
     assert {r["doc_id"] for r in keep_clean(frame, bench).collect()} == {3, 4, 6}
 
 
+def accepted(same):
+    """The longest run of the scorer, over a list of booleans."""
+    score = equal = best = 0
+    for s in same:
+        score += 1 if s else -4
+        equal += s
+        if score < 0:
+            score = equal = 0
+        best = max(best, equal)
+    return best
+
+
+def test_a_mask_fits_every_accepted_run():
+    """All ways to place mismatches among 13 equal words that the scorer accepts."""
+    runs = [[True]]
+    full = []
+    while runs:
+        run = runs.pop()
+        if sum(run) == 13:
+            full.append(run)
+        else:
+            runs += [run + [True]] + ([run + [False]] if accepted(run + [False]) == sum(run) and accepted(run + [False, True]) == sum(run) + 1 else [])
+    assert len(full) == 80
+    places = [[p for p, c in enumerate(m) if c == "1"] for m in Seeds().masks]
+    assert all(any(all(run[i + p] for p in ps) for ps in places for i in range(len(run) - ps[-1])) for run in full)
+
+
+def test_decontamination_matches_direct_alignment(spark, odd_docs):
+    """Short items, and passages with a substitution in every fifth and every sixth word and at random."""
+    rng = random.Random(21)
+    items = [(n, prose(rng, n, 50_000)) for n in range(1, 14)] + [(100 + i, prose(rng, 100, 5000)) for i in range(6)] + [(200, None), (201, " ., "), (202, "same line of text")]
+    texts = {i: (t or "").split() for i, t in items}
+    docs = [(i, f"{prose(rng, 5, 5000)} {t.upper()}, {prose(rng, 5, 5000)}") for i, t in items[:13]]
+    for i, step in enumerate((5, 6, 4, 5)):
+        docs.append((50 + i, " ".join(f"x{k}" if k % step == step - 1 else w for k, w in enumerate(texts[100 + i][7:]))))
+    docs += [(60 + i, " ".join(f"y{k}" if rng.random() < share else w for k, w in enumerate(texts[104 + i % 2]))) for i, share in enumerate((0.1, 0.15, 0.2, 0.25, 0.3, 0.2, 0.25, 0.22))]
+    docs += [(80, " ".join(texts[12][:-1])), (81, " ".join(texts[13][:12])), (82, None), (83, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = {}
+    for i, text in docs:
+        mine = [w for w in re.split("[ ,]+", (text or "").lower()) if w]
+        best = {j: max((accepted([mine[k + s] == w for k, w in enumerate(ws) if 0 <= k + s < len(mine)]) for s in range(-len(ws), len(mine))), default=0) for j, ws in texts.items() if ws and ws != ["."]}
+        expected[i] = sorted(j for j, b in best.items() if b >= min(13, len(texts[j])) and j < 201)
+    assert expected[50] == [100] and expected[51] == [101] and expected[0 + 1] == [1] and expected[80] == []
+    for how in (Seeds(), Seeds(broadcast_seeds=1)):
+        got = {r["doc_id"]: r["items"] for r in contamination(frame, spark.createDataFrame(items, "item_id long, text string"), how).collect()}
+        assert got == expected
+    odd = contamination(odd_docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(odd) == odd_docs.count() and {r["doc_id"] for r in odd if r["contaminated"]} == {9}
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert contamination(odd_docs, bench).where("contaminated").count() == 0
@@ -94,11 +167,12 @@ def test_base_counts_match_brute_force(spark, odd_docs):
 
 
 def tail(n, k, p):
-    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
+    return math.fsum(map(math.exp, logs))
 
 
 def test_binomial_tail_is_exact(spark):
-    cases = [(100, 0), (100, 3), (2000, 20), (5000, 70), (500, 24)]
+    cases = [(100, 0), (100, 1), (100, 3), (2000, 20), (5000, 70), (500, 24), (40_000, 720), (40_000, 799), (200_000, 3800)]
     frame = spark.createDataFrame(cases, "n long, k long")
     for r, (n, k) in zip(frame.select(binomial_tail(F.col("n"), F.col("k"), 0.02).alias("p")).collect(), cases):
         assert abs(r["p"] - (tail(n, k, 0.02) if k < n * 0.02 else 1)) < 1e-9
