@@ -3,7 +3,8 @@
 ``STAGES`` lists the stages in order.  Each function takes ``(spark, docs, sf_dir)``; ``docs`` is what
 the stage before kept, written as Parquet and read again.  All but the last return the columns of ``docs``.
 The mix shows in the order of its rows: files, and rows inside them, ascend by slot, and the last stage
-writes token records in that order (documents that do not come from files go by their ids).
+writes token records in that order.  Every stage passes on columns of any name and gives an empty table for an
+empty one.
 """
 
 from __future__ import annotations
@@ -49,28 +50,40 @@ def _tidy(stage: Stage) -> Stage:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the quality rules keep; null and empty texts go, each repeated row is judged alike, a null language is one of its own."""
     return keep_documents(docs, good_labels(table(spark, sf_dir, "labels")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group; null ids, null and empty texts stay, and so do identical rows of a kept document."""
     return keep_one(docs, NEAR)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null and empty texts hold none, an empty benchmark clears all."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows in the order of the mix; a null source is one of its own, a null or empty text counts one byte."""
     return mixed(docs)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token records of all rows, in the order of the mix.
+
+    Documents that come from files are taken by file number and row in it, whatever tasks read them;
+    documents of a table in memory by their rows.  A plan over files that hides their rows is an error.
+    """
     folder = new_path(spark, "token-records")
-    try:
-        placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-        order = [F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long"), F.col("_file"), F.col("_row")]
-    except AnalysisException:
-        placed, order = docs.select("doc_id", "text"), None
+    if docs.inputFiles():
+        try:
+            placed = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException as hidden:
+            raise ValueError("the order of the mix is in files and rows: read the stage before as it was written") from hidden
+    else:
+        placed = docs.select("doc_id", "text", F.lit("").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    order = [F.regexp_extract("_file", r"part-(\d+)", 1).try_cast("long"), F.col("_file"), F.col("_row")]
     files = write_records(placed, folder, vocabulary(), END_ID, order)
     return read_records(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
