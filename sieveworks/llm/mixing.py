@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is a task whose weight is its target share; its documents, in an order of hashed ids, are
+Each source is a task whose weight is its target share; its documents, in the order of a digest of id and text, are
 cut into blocks of ``block_bytes``.  Block j of a source of weight w is released at floor(j / w) and
 due by ceil((j + 1) / w); slots go to the released block with the earliest deadline.  At every slot the
 blocks given to a source differ from its weight times the slots so far by less than one.
@@ -12,14 +12,14 @@ them to hold the corpus (from 1 TiB on), so that task's work is bounded; the dev
 the windows of the others do not move.
 
 Block numbers need a running sum of bytes inside each source.  A source is cut into buckets by
-hashed id, of at most about ``bucket_bytes`` each and at least ``buckets`` of them; sums run inside a bucket,
+digest, of at most about ``bucket_bytes`` each and at least ``buckets`` of them; sums run inside a bucket,
 and each bucket starts where the totals of those before it end.  So a source with a third of all rows is
 spread over all tasks, and no window grows with the corpus.
 
 Defined results: nothing is dropped; a source that has run out leaves its slots empty.  A null source is
 a source of its own; a null or empty text counts one byte; equal ids with other texts are other documents, and
 identical rows keep separate places.  Sources beyond the ``max_sources`` largest are scheduled as one
-stream with the sum of their weights, and lie in it by hashed id, so in proportion to their bytes; sources without a
+stream with the sum of their weights, and lie in it by digest, so in proportion to their bytes; sources without a
 given weight make such a stream with the least weight of the others.  It exists only where they do.
 An empty table gives no rows.  Other columns pass through :func:`mixed`.
 """
@@ -132,13 +132,14 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source", carry: l
     """
     spark = docs.sparkSession
     whole = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("_row")
-    key, second = F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "doc_id", "text")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
     whole_bytes = docs.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     block_bytes = max(how.block_bytes, -(-whole_bytes // how.most_blocks))
     buckets = max(how.buckets, -(-whole_bytes // how.bucket_bytes))
-    bucket = F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int")
-    rows = docs.select(_source_key(F.col(source)).alias("_source"), bucket.alias("_bucket"), key.alias("_key"), second.alias("_second"), size.alias("_size"), whole)
+    share = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / 2.0**32  # ascends with the key
+    bucket = F.floor(share * buckets).cast("int")
+    rows = docs.select(_source_key(F.col(source)).alias("_source"), bucket.alias("_bucket"), key.alias("_key"), size.alias("_size"), whole)
 
     totals = written(rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_total")), "mix-totals")
     if how.weights is None:
@@ -164,7 +165,7 @@ def plan_mix(docs: DataFrame, how: Mix = Mix(), source: str = "source", carry: l
     spans = bases.select("_source", "_bucket", "_stream", "_base", F.explode(met).alias("_block")).join(slots, ["_stream", "_block"])
     plans = spans.groupBy("_source", "_bucket").agg(F.min("_base").alias("_base"), F.array_sort(F.collect_list(F.struct("_block", "_r", "_d", "_t"))).alias("_plan"))
 
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_second")
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_key")
     summed = rows.withColumn("_upto", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     placed = summed.join(plans, ["_source", "_bucket"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("_size"))
     placed = placed.withColumn("_block", F.expr(f"_start div {block_bytes}")).withColumn("_at", F.expr("get(_plan, cast(_block - _plan[0]._block AS int))"))
