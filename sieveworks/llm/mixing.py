@@ -51,8 +51,8 @@ class Mix:
     block_bytes: int = 65536
     most_blocks: int = 1 << 24
     period: int = 1024
-    buckets: int = 32
-    bucket_bytes: int = 64 << 20
+    buckets: int = 256
+    bucket_bytes: int = 16 << 20
     max_sources: int = 10_000
 
 
