@@ -105,18 +105,17 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def look_similar(components: np.ndarray, sketches: np.ndarray, least: int, spanning: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in different components whose sketches have ``least`` equal bytes or more.
-
-    With ``spanning`` only a forest of them that joins what all of them join, the most similar first.
-    """
+def look_similar(components: np.ndarray, sketches: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows in different components whose sketches have ``least`` equal bytes or more, and which of
+    them make a forest that joins what all of them join, the most similar first."""
     equal = (sketches[:, None, :] == sketches[None, :, :]).sum(axis=2, dtype=np.int16)
     a, b = np.nonzero(np.triu((equal >= least) & (components[:, None] != components[None, :]), 1))
-    if not spanning or len(a) < 2:
-        return a, b
-    best = np.argsort(-equal[a, b], kind="stable")
-    kept = _forest(components[a[best]].tolist(), components[b[best]].tolist())
-    return a[best[kept]], b[best[kept]]
+    spans = np.ones(len(a), bool)
+    if len(a) > 1:
+        best = np.argsort(-equal[a, b], kind="stable")
+        spans[:] = False
+        spans[best[_forest(components[a[best]].tolist(), components[b[best]].tolist())]] = True
+    return a, b, spans
 
 
 def _forest(us: list[int], vs: list[int]) -> list[int]:

@@ -17,8 +17,8 @@ that meet at a node are likely to be similar.
   in one matrix product over full sets.  So no pair that meets at such a node is skipped, no group is
   collected anywhere, and a text is sent once for each opposing block, not for each partner.
 
-A node whose members are one component needs no further comparison, and only pairs between components
-are compared.  Texts are fetched for the classes that have a similar-looking partner or lie in a large node.
+A larger node whose members are one component needs no further comparison, nor does a smaller one where all
+pairs of the spanning forest are joined, and only pairs between components are compared.  Texts are fetched for the classes that have a similar-looking partner or lie in a large node.
 Links between components so far are joined in one task
 while there are at most ``one_task`` of them, and beyond by passing on the least label, in tables.  Texts are joined by sort-merge at every size.  Every round is written to the shared folder, so lost executors cost one round at most.
 
@@ -217,11 +217,11 @@ def components(labels: DataFrame, links: DataFrame, how: Join) -> DataFrame:
     return out
 
 
-def sketch_pairs(members: DataFrame, how: Join, spanning: bool) -> DataFrame:
-    """``node, a, b``: pairs of a node's ``members(node, rep, comp, sketch)`` in different components that look similar.
+def sketch_pairs(members: DataFrame, how: Join) -> DataFrame:
+    """``node, a, b, spans, crowded``: pairs of a node's ``members(node, rep, comp, sketch)`` in different components that look similar.
 
-    With ``spanning`` only those of a spanning forest, the most similar first; else all, and one row
-    without a pair for a node with more than ``pairs_each`` pairs for each member.
+    ``spans`` marks those of a spanning forest, the most similar first.  Of a node with more than
+    ``pairs_each`` pairs for each member, which is ``crowded``, there are no others.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,17 +231,19 @@ def sketch_pairs(members: DataFrame, how: Join, spanning: bool) -> DataFrame:
             flat = lists.flatten()
             reps, comps = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "comp"))
             sketches = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, kernel.SKETCH)
-            found: list[tuple[int, int | None, int | None]] = []
+            found: list[tuple[int, int, int, bool, bool]] = []
             for node, start, end in zip(batch.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist()):
-                a, b = kernel.look_similar(comps[start:end], sketches[start:end], how.agreeing, spanning)
-                if spanning or len(a) <= how.pairs_each * (end - start):
-                    found += zip([node] * len(a), reps[start:end][a].tolist(), reps[start:end][b].tolist())
-                else:
-                    found.append((node, None, None))
+                a, b, spans = kernel.look_similar(comps[start:end], sketches[start:end], how.agreeing)
+                crowded = len(a) > how.pairs_each * (end - start)
+                if crowded:
+                    a, b, spans = a[spans], b[spans], spans[spans]
+                found += zip([node] * len(a), reps[start:end][a].tolist(), reps[start:end][b].tolist(), spans.tolist(), [crowded] * len(a))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["node", "a", "b"])
+                kinds = [pa.int64()] * 3 + [pa.bool_()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["node", "a", "b", "spans", "crowded"])
 
-    return members.groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("members")).mapInArrow(run, "node long, a long, b long")
+    grouped = members.groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("members"))
+    return grouped.mapInArrow(run, "node long, a long, b long, spans boolean, crowded boolean")
 
 
 def _some(rows: DataFrame) -> bool:
@@ -281,17 +283,30 @@ class _Search:
         """``node, rep, n, comp, bytes, sketch``, written."""
         return written(nodes.select("node", "rep", "n").join(self.labels, "rep").join(self.sketches, "rep"), "named-nodes")
 
-    def open(self, nodes: DataFrame) -> DataFrame:
-        """:meth:`named` for the nodes whose members are not one component."""
-        named = self.named(nodes)
-        split = named.groupBy("node").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("node")
-        out = written(named.join(split, "node", "left_semi"), "open-nodes")
-        discard(named)
-        return out
+    def split(self, nodes: DataFrame) -> DataFrame:
+        """``node, rep, n`` of the nodes whose members are not one component."""
+        own = nodes.select("node", "rep").join(self.labels, "rep")
+        apart = own.groupBy("node").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+        return nodes.select("node", "rep", "n").join(apart, "node", "left_semi")
+
+    def still_apart(self, pairs: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` whose ``a`` and ``b`` are in different components, written."""
+        ends = self.labels.select(F.col("rep").alias("a"), F.col("comp").alias("u"))
+        both = pairs.join(ends, "a").join(ends.select(F.col("a").alias("b"), F.col("u").alias("v")), "b")
+        return written(both.where("u <> v").select(*pairs.columns), "apart-pairs")
+
+    def open(self, nodes: DataFrame, apart: DataFrame) -> DataFrame:
+        """:meth:`named` for the nodes that may hold a link between components beside the pairs known.
+
+        These are larger nodes whose members are not one component, and crowded ones of :func:`sketch_pairs`
+        with a pair that is still ``apart``: if no pair of the forest is, no pair that looks similar is.
+        """
+        crowded = nodes.join(apart.where("crowded").select("node").distinct(), "node", "left_semi")
+        return self.named(crowded.select("node", "rep", "n").unionByName(self.split(nodes.where(F.col("n") > self.how.small))))
 
-    def of_sketches(self, named: DataFrame, spanning: bool) -> DataFrame:
+    def of_sketches(self, named: DataFrame) -> DataFrame:
         """:func:`sketch_pairs` of the nodes of at most ``small`` members."""
-        return sketch_pairs(named.where(F.col("n") <= self.how.small), self.how, spanning)
+        return sketch_pairs(named.where(F.col("n") <= self.how.small), self.how)
 
     def of_leaders(self, named: DataFrame) -> DataFrame:
         """``a, b``: members of larger nodes and their leader, if in different components and similar by sketch."""
@@ -300,14 +315,16 @@ class _Search:
         pairs = large.join(lead, "node").where(F.col("comp") != F.col("lead.comp"))
         return _agree(pairs.select(F.col("rep").alias("a"), F.col("lead.rep").alias("b"), F.col("sketch").alias("x"), F.col("lead.sketch").alias("y")), self.how)
 
-    def first_pairs(self, nodes: DataFrame) -> DataFrame:
+    def first_pairs(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What :meth:`of_sketches` finds, and the pairs to compare first, both written."""
         named = self.named(nodes)
-        pairs = self.of_sketches(named, True).select("a", "b")
+        alike = written(self.of_sketches(named), "similar-pairs")
+        pairs = alike.where("spans").select("a", "b")
         if _some(named.where(F.col("n") > self.how.small)):
             pairs = pairs.unionByName(self.of_leaders(named))
         out = self.new_pairs(pairs)
         discard(named)
-        return out
+        return alike, out
 
     def with_kind(self, nodes: DataFrame, deepest: bool) -> DataFrame:
         """The larger nodes with ``dense``: whether one component has half of the members or more, or no level is below."""
@@ -334,6 +351,8 @@ class _Search:
         """Compare the members of ``nodes(node, rep, n, comp, bytes)`` outside the main component with all, on full sets."""
         how = self.how
         queries = written(self.outside(nodes).select("node", "rep", "comp", "bytes"), "node-queries")
+        if not _some(queries):
+            return discard(queries)
         blocks = F.ceil(F.greatest(F.sum("bytes") / how.block_bytes, F.count("*") / how.block_rows)).cast("int")
         counts = queries.groupBy("node").agg(blocks.alias("q_blocks")).join(nodes.groupBy("node").agg(blocks.alias("m_blocks")), "node")
         counts = written(counts, "node-blocks")
@@ -379,34 +398,34 @@ def _component_labels(classes: DataFrame, docs: DataFrame, how: Join) -> DataFra
     sketches = written(classes.select("rep", "bytes", "sketch").join(nodes.select("rep").distinct(), "rep", "left_semi"), "sketches")
     search, depth = _Search(sketches, how), how.first
     while True:
-        pairs = search.first_pairs(nodes)
+        alike, pairs = search.first_pairs(nodes)
         if search.texts is None:
             needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(nodes.where(F.col("n") > how.small).select("rep")).distinct()
             needed = written(classes.select("rep", "doc_id", "h").join(needed, "rep", "left_semi"), "involved")
             search.texts = written(docs.select(*_key(), "text").join(needed.hint("merge"), ["doc_id", "h"]).groupBy("rep").agg(F.max("text").alias("text")), "texts")
             discard(needed)
         search.compare(pairs)
-        unsolved = search.open(nodes)
-        discard(nodes)
+        apart = search.still_apart(alike)
+        unsolved = search.open(nodes, apart)
+        discard(nodes, alike)
+        pairs = apart.where("NOT spans").select("a", "b")
         if not _some(unsolved):
+            search.compare(search.new_pairs(pairs))
             return search.labels
         large = search.with_kind(unsolved, depth >= how.depth)
         dense = large.where("dense").drop("dense")
         some_dense = _some(dense)
-        close = written(search.of_sketches(unsolved, False), "close-pairs")
-        pairs = close.where("a IS NOT NULL").select("a", "b")
         search.compare(search.new_pairs(pairs.unionByName(search.of_more_leaders(dense)) if some_dense else pairs))
-        crowded = unsolved.join(close.where("a IS NULL").select("node"), "node", "left_semi")
+        crowded = unsolved.where(F.col("n") <= how.small)
         if some_dense or _some(crowded):
-            crowded = search.open(crowded.unionByName(dense) if some_dense else crowded)
-            if _some(crowded):
-                search.in_blocks(crowded)
+            crowded = search.named(crowded.unionByName(dense) if some_dense else crowded)
+            search.in_blocks(crowded)
         loose = large.where("NOT dense").drop("dense")
         if not _some(loose):
             return search.labels
-        lists = written(search.open(loose).groupBy("rep").agg(F.collect_set("node").alias("nodes")), "loose-members")
+        lists = written(search.split(loose).groupBy("rep").agg(F.collect_set("node").alias("nodes")), "loose-members")
         texts = written(search.texts.join(lists.hint("merge"), "rep"), "loose-texts")
-        discard(search.texts, unsolved, close, crowded, large, lists)
+        discard(search.texts, unsolved, apart, crowded, large, lists)
         nodes, search.texts = _shared(deeper(texts, how)), texts.select("rep", "text")
         search.texts._sieveworks_path = texts._sieveworks_path
         depth += how.step

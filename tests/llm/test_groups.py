@@ -10,7 +10,7 @@ import pytest
 
 from sieveworks.llm import chosen_path as kernel
 from sieveworks.llm.mixing import Mix, exact_weights, mixed, one_period, plan_mix, schedule, whole_shares
-from sieveworks.llm.near_dedup import Join, keep_one, link
+from sieveworks.llm.near_dedup import Join, _Search, keep_one, link
 
 from .conftest import prose
 
@@ -84,6 +84,30 @@ def test_recall_where_nodes_are_large_and_loose(spark):
     assert all(c in (i, i - i % 2) for i, c in got.items())
 
 
+def test_compared_nodes_are_not_opened_again(spark, monkeypatch):
+    """Nodes of loose boilerplate, joined pairs and pairs below the threshold hold no pair that is not compared yet."""
+    rng = random.Random(78)
+    boiler = prose(rng, 100, 10_000)
+    docs = []
+    for i in range(40):
+        own = (boiler + " " + prose(rng, 100, 10**6)).split()
+        other = list(own)
+        for k in range(1 if i % 2 else 6):
+            other[110 + 15 * k] = f"n{i}"
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    opened, before = [], _Search.open
+
+    def counted(self, *nodes):
+        out = before(self, *nodes)
+        opened.append(out.count())
+        return out
+
+    monkeypatch.setattr(_Search, "open", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in link(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_components(docs) and len({c for _, c in got.values()}) == 60
+    assert opened == [0]
+
+
 def test_near_dedup_odd_rows(odd_docs, no_docs):
     got = link(odd_docs).collect()
     assert len(got) == odd_docs.count()
