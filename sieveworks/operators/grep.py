@@ -31,7 +31,7 @@ class Rule:
     tier: int = 0
     case_sensitive: bool = False
     every_match: bool = False
-    cap: int = MAX_MATCHES
+    cap: int | None = MAX_MATCHES
 
     @property
     def java(self) -> str:
@@ -41,7 +41,7 @@ class Rule:
 def _match(rule: Rule) -> Column:
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)) if rule.every_match else F.array(F.regexp_extract(text, rule.java, 0))
-    hits = F.transform(found, lambda m, i: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.tier).alias("tier"), F.lit(rule.cap).alias("cap"), (i + 1).alias("ordinal"), m.alias("match_text")))
+    hits = F.transform(found, lambda m, i: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.tier).alias("tier"), F.lit(rule.cap).cast("int").alias("cap"), (i + 1).alias("ordinal"), m.alias("match_text")))
     return F.when(glob_any(F.col("path"), rule.globs) & text.rlike(rule.java), hits)
 
 
@@ -67,8 +67,9 @@ def capped(matches: DataFrame, cap: int) -> DataFrame:
 
 
 def capped_by_rule(matches: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The first matches of each rule, as many as its own cap says: one cut for each distinct cap."""
-    parts = [capped(matches.where(F.col("cap") == cap), cap) for cap in sorted({r.cap for r in rules})]
+    """The first matches of each rule, as many as its own cap says (all without one): one cut for each distinct cap."""
+    parts = [capped(matches.where(F.col("cap") == cap), cap) for cap in sorted({r.cap for r in rules if r.cap is not None})]
+    parts.append(matches.where(F.col("cap").isNull()))
     return reduce(DataFrame.unionByName, parts)
 
 

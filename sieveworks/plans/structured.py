@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.globs import glob_any
 from ..functions.text import base_name, parent_path, path_parts
-from ..operators import collect, grep, inventory, lookup
+from ..operators import collect, grep, lookup
 from ..sources.corpus import Corpus
 from .registry import BOTH_GRADLE, KT, SETTINGS, UI, YML
 
@@ -27,8 +27,8 @@ CONFIG_FILES = [("**/*.properties", "Properties files"), ("**/config*.json", "JS
 TASKS = grep.Rule("registered", r"""tasks\.register\s*[<(]\s*["']?(\w*[Tt]est\w*)|tasks\.create\s*\(\s*["'](\w*[Tt]est\w*)""", BOTH_GRADLE)
 REFERENCED = grep.Rule("referenced", r"\b(connected\w*AndroidTest|test\w*UnitTest|connectedCheck|managedDevices?\w*)\b", (*BOTH_GRADLE, *YML, "**/*.sh", "Makefile", "**/*.md"))
 MANAGED = grep.Rule("managed", "managedDevices|localDevices|gradleManagedDevice", BOTH_GRADLE)
-TAGS = grep.Rule("tag", r"""testTag\s*\(\s*["']([^"']+)["']|testTag\s*=\s*["']([^"']+)["']""", (KT,), every_match=True, cap=inventory.LIMIT + 1)
-IDS = grep.Rule("id", r'android:id\s*=\s*"@\+id/(\w+)"', ("**/*.xml",), every_match=True, cap=inventory.LIMIT + 1)
+TAGS = grep.Rule("tag", r"""testTag\s*\(\s*["']([^"']+)["']|testTag\s*=\s*["']([^"']+)["']""", (KT,), every_match=True, cap=None)
+IDS = grep.Rule("id", r'android:id\s*=\s*"@\+id/(\w+)"', ("**/*.xml",), every_match=True, cap=None)
 FAKES = grep.Rule("fakes", r"class\s+Fake\w+|class\s+Stub\w+|object\s+Fake\w+", (KT,))
 HILT = grep.Rule("hilt", r"\bhilt\b|dagger\.hilt|HiltAndroidTest|HiltTestApplication", ("**/*gradle*", "**/gradle/libs.versions.toml", *UI))
 DAGGER = grep.Rule("dagger", r"\bdagger\b|com\.google\.dagger", ("**/*gradle*", "**/gradle/libs.versions.toml", *UI))

@@ -156,6 +156,13 @@ def test_evidence_is_capped_and_proven(spark):
     assert scan.evidence(corpus, found, None).where("section = 'ui_technology_signals'").count() == 200
 
 
+def test_inventories_of_a_scan_are_counted_whole(spark):
+    tags = "".join(f'Modifier.testTag("t{i}")\n' for i in range(5100))
+    ids = "".join(f'<v android:id="@+id/i{i}"/>\n' for i in range(5200))
+    rows = {r["section"]: r for r in scan.sections(Corpus(spark.createDataFrame([("a.kt", tags), ("res/b.xml", ids)], "path string, content string"))).collect()}
+    assert (rows["test_tag_inventory"]["summary"], rows["test_tag_inventory"]["evidence_total"]) == ("5100 Compose test tags, 5200 view ids", 10300)
+
+
 def test_a_broken_detector_fails_alone(spark, monkeypatch):
     bad = dataclasses.replace(registry.DETECTORS[3], probes=(*registry.DETECTORS[3].probes, registry.lines("([", "**/*.kt")))
     monkeypatch.setattr(scan, "DETECTORS", [bad if d.id == bad.id else d for d in registry.DETECTORS])
