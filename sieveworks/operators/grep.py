@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,7 +30,6 @@ class Rule:
     tier: int = 0
     case_sensitive: bool = False
     every_match: bool = False
-    cap: int | None = MAX_MATCHES
 
     @property
     def java(self) -> str:
@@ -41,12 +39,12 @@ class Rule:
 def _match(rule: Rule) -> Column:
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)) if rule.every_match else F.array(F.regexp_extract(text, rule.java, 0))
-    hits = F.transform(found, lambda m, i: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.tier).alias("tier"), F.lit(rule.cap).cast("int").alias("cap"), (i + 1).alias("ordinal"), m.alias("match_text")))
+    hits = F.transform(found, lambda m, i: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.label).alias("label"), F.lit(rule.tier).alias("tier"), (i + 1).alias("ordinal"), m.alias("match_text")))
     return F.when(glob_any(F.col("path"), rule.globs) & text.rlike(rule.java), hits)
 
 
 def grep(lines: DataFrame, rules: list[Rule], shown: str = "text") -> DataFrame:
-    """``rule_id, label, tier, cap, path, line, ordinal, line_content, match_text``, uncapped.
+    """``rule_id, label, tier, path, line, ordinal, line_content, match_text``, uncapped.
 
     Every rule is tested on each line of one scan; a line that matches several rules gives a row for
     each, so the result is a bag.  ``shown`` is the column that becomes ``line_content``, such as a
@@ -54,7 +52,7 @@ def grep(lines: DataFrame, rules: list[Rule], shown: str = "text") -> DataFrame:
     """
     hits = F.flatten(F.filter(F.array(*[_match(r) for r in rules]), lambda m: m.isNotNull()))
     each = lines.select("path", "line", F.col(shown).alias("line_content"), F.explode(hits).alias("m"))
-    return each.select("m.rule_id", "m.label", "m.tier", "m.cap", "path", "line", "m.ordinal", "line_content", "m.match_text")
+    return each.select("m.rule_id", "m.label", "m.tier", "path", "line", "m.ordinal", "line_content", "m.match_text")
 
 
 def capped(matches: DataFrame, cap: int) -> DataFrame:
@@ -66,13 +64,6 @@ def capped(matches: DataFrame, cap: int) -> DataFrame:
     return matches.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
-def capped_by_rule(matches: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The first matches of each rule, as many as its own cap says (all without one): one cut for each distinct cap."""
-    parts = [capped(matches.where(F.col("cap") == cap), cap) for cap in sorted({r.cap for r in rules if r.cap is not None})]
-    parts.append(matches.where(F.col("cap").isNull()))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def first_tier(matches: DataFrame) -> DataFrame:
     """Of each label the matches of its least tier."""
     least = matches.groupBy("label").agg(F.min("tier").alias("tier"))

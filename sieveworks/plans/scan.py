@@ -50,14 +50,14 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _line_matches(lines: DataFrame) -> DataFrame:
-    """Capped line matches of all probes and structured rules, fallbacks resolved."""
+    """All line matches of all probes and structured rules, fallbacks resolved."""
     where, rules = {}, []
     for n, (d, i, p) in enumerate(_probes("lines", broken(lines.sparkSession))):
         rules.append(grep.Rule(f"p{n}", p.pattern, p.globs, label=f"{d.id}/{p.pattern}", tier=p.tier, case_sensitive=p.case_sensitive))
         where[f"p{n}"] = (d.id, i, p.label)
     rules += structured.RULES
     passes = [grep.grep(lines, rules[i : i + RULES_A_PASS], "safe_text") for i in range(0, len(rules), RULES_A_PASS)]
-    found = grep.capped_by_rule(_union(passes), rules)
+    found = _union(passes).persist(StorageLevel.MEMORY_AND_DISK)  # read for the least tiers and for its rows
     spark = lines.sparkSession
     names = spark.createDataFrame([(k, *v) for k, v in where.items()], "rule_id string, section string, probe int, name string")
     tiered = {r.label for r in rules if r.tier}
@@ -71,9 +71,8 @@ def _whole_matches(corpus: Corpus) -> DataFrame:
     parts = []
     for d, i, p in _probes("whole", broken(corpus.files.sparkSession)):
         hits = grep.grep_whole(corpus.files, p.pattern, p.globs)
-        hits = hits.withColumn("rule_id", F.lit(f"{d.id}/{i}")).withColumn("label", F.lit("")).withColumn("tier", F.lit(0)).withColumn("cap", F.lit(grep.MAX_MATCHES)).withColumn("ordinal", F.lit(1)).withColumn("line", F.col("line_start"))
-        cut = grep.capped(hits, grep.MAX_MATCHES)
-        parts.append(cut.select(F.lit(d.id).alias("section"), F.lit(i).alias("probe"), F.lit(p.label).alias("label"), F.lit(True).alias("counts"), "rule_id", "path", "line", "line_end", F.lit("").alias("line_content"), "match_text", F.lit("source_lines").alias("provenance")))
+        hits = hits.withColumn("line", F.col("line_start"))
+        parts.append(hits.select(F.lit(d.id).alias("section"), F.lit(i).alias("probe"), F.lit(p.label).alias("label"), F.lit(True).alias("counts"), F.lit(f"{d.id}/{i}").alias("rule_id"), "path", "line", "line_end", F.lit("").alias("line_content"), "match_text", F.lit("source_lines").alias("provenance")))
     return _union(parts)
 
 
@@ -110,9 +109,12 @@ def matches(corpus: Corpus) -> DataFrame:
 def evidence(corpus: Corpus, found: DataFrame, limit: int | None = EVIDENCE_LIMIT) -> DataFrame:
     """The first ``limit`` rows of each section's evidence, in corpus order, that prove their range.
 
-    Adds ``ordinal``, ``evidence_total`` (before the cut) and what proves a range: the lines of the file and its digest.
+    A rule gives its first matches only, as many as one search shows; :func:`sections` counts all.  Adds ``ordinal``,
+    ``evidence_total`` (before the cut) and what proves a range: the lines of the file and its digest.
     """
-    shown = found.where(F.col("section").isNotNull() & F.col("counts"))
+    every = found.where(F.col("section").isNotNull() & F.col("counts"))
+    of_rules = every.where("rule_id <> ''").withColumn("ordinal", F.lit(1))
+    shown = every.where("rule_id = ''").unionByName(grep.capped(of_rules, grep.MAX_MATCHES).drop("ordinal"))
     cut = capped_evidence(shown, ["section"], [F.split("path", "/"), F.col("line"), F.col("probe")], limit)
     listed = corpus.listing.select("path", F.col("line_count").alias("source_line_count"), F.col("digest").alias("source_digest"))
     whole = cut.join(listed, "path", "left").withColumnsRenamed({"line": "line_start"})

@@ -27,8 +27,8 @@ CONFIG_FILES = [("**/*.properties", "Properties files"), ("**/config*.json", "JS
 TASKS = grep.Rule("registered", r"""tasks\.register\s*[<(]\s*["']?(\w*[Tt]est\w*)|tasks\.create\s*\(\s*["'](\w*[Tt]est\w*)""", BOTH_GRADLE)
 REFERENCED = grep.Rule("referenced", r"\b(connected\w*AndroidTest|test\w*UnitTest|connectedCheck|managedDevices?\w*)\b", (*BOTH_GRADLE, *YML, "**/*.sh", "Makefile", "**/*.md"))
 MANAGED = grep.Rule("managed", "managedDevices|localDevices|gradleManagedDevice", BOTH_GRADLE)
-TAGS = grep.Rule("tag", r"""testTag\s*\(\s*["']([^"']+)["']|testTag\s*=\s*["']([^"']+)["']""", (KT,), every_match=True, cap=None)
-IDS = grep.Rule("id", r'android:id\s*=\s*"@\+id/(\w+)"', ("**/*.xml",), every_match=True, cap=None)
+TAGS = grep.Rule("tag", r"""testTag\s*\(\s*["']([^"']+)["']|testTag\s*=\s*["']([^"']+)["']""", (KT,), every_match=True)
+IDS = grep.Rule("id", r'android:id\s*=\s*"@\+id/(\w+)"', ("**/*.xml",), every_match=True)
 FAKES = grep.Rule("fakes", r"class\s+Fake\w+|class\s+Stub\w+|object\s+Fake\w+", (KT,))
 HILT = grep.Rule("hilt", r"\bhilt\b|dagger\.hilt|HiltAndroidTest|HiltTestApplication", ("**/*gradle*", "**/gradle/libs.versions.toml", *UI))
 DAGGER = grep.Rule("dagger", r"\bdagger\b|com\.google\.dagger", ("**/*gradle*", "**/gradle/libs.versions.toml", *UI))
@@ -81,7 +81,7 @@ def _module_kinds(facts: DataFrame) -> DataFrame:
 def sections(corpus: Corpus, facts: DataFrame, matches: DataFrame) -> DataFrame:
     """``section, detected, summary, evidence_total`` of the structured detectors.
 
-    ``matches`` are the capped matches of :data:`RULES` and of the probes that structured sections share.
+    ``matches`` are all matches of :data:`RULES` and of the probes that structured sections share.
     """
     files, dirs = corpus.files.select("path"), corpus.dirs
     settings = _first_settings(facts)
@@ -152,8 +152,9 @@ def sections(corpus: Corpus, facts: DataFrame, matches: DataFrame) -> DataFrame:
 
     tasks = matches.where("rule_id IN ('registered', 'referenced', 'managed')")
     task = F.when(F.col("rule_id") == "registered", F.nullif(F.regexp_extract("line_content", r"""["'](\w*[Tt]est\w*)["']""", 1), F.lit(""))).when(F.col("rule_id") == "referenced", F.col("match_text"))
-    listed = tasks.agg(F.array_sort(F.collect_set(task)).alias("t"), F.count_if(F.col("rule_id") == "managed").alias("m"), F.count("*").alias("n"))
-    text = F.when(F.size("t") > 0, F.concat(F.lit("Observed task references: "), F.array_join(F.slice("t", 1, 8), ", "))).otherwise(F.lit("Observed Gradle managed-device configuration"))
+    named_tasks = tasks.select(task.alias("t")).where("t IS NOT NULL").distinct().orderBy("t").limit(8).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    listed = tasks.agg(F.count_if(F.col("rule_id") == "managed").alias("m"), F.count("*").alias("n")).crossJoin(named_tasks)
+    text = F.when(F.size("t") > 0, F.concat(F.lit("Observed task references: "), F.array_join("t", ", "))).otherwise(F.lit("Observed Gradle managed-device configuration"))
     out.append(_section(listed, "test_tasks", (F.size("t") > 0) | (F.col("m") > 0), F.concat(text, F.when(F.col("m") > 0, F.lit("; Gradle managed devices")).otherwise(F.lit(""))), F.col("n")))
 
     for section, template in (("screen_names_inventory", "Found %d Screen classes"), ("ui_test_class_names", "Found %d UI test classes")):
@@ -185,8 +186,9 @@ def sections(corpus: Corpus, facts: DataFrame, matches: DataFrame) -> DataFrame:
 
     art = matches.where("section = 'artifacts_and_reports'")
     value = F.when((F.col("label") == "") & (F.col("line_content") != ""), F.trim(F.regexp_replace("line_content", r"(?i)^\s*(?:(?:junit|path|outputDir)\s*:\s*|-\s+)", ""), F.lit(" '\"")))
-    parts = art.agg(F.array_sort(F.collect_set(F.when(F.col("label") != "", F.struct("probe", "label")))).alias("l"), F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(path_parts(F.col("path")).alias("p"), "line", value.alias("v"))))).alias("v"), F.count("*").alias("n"))
-    paths = F.slice(F.array_distinct(F.transform("v", lambda x: x["v"])), 1, 8)
+    named_paths = art.select(value.alias("v"), path_parts(F.col("path")).alias("p"), "line").where("v IS NOT NULL").groupBy("v").agg(F.min(F.struct("p", "line", "v")).alias("at")).orderBy("at").limit(8).agg(F.array_sort(F.collect_list("at")).alias("v"))
+    parts = art.agg(F.array_sort(F.collect_set(F.when(F.col("label") != "", F.struct("probe", "label")))).alias("l"), F.count("*").alias("n")).crossJoin(named_paths)
+    paths = F.transform("v", lambda x: x["v"])
     art_text = F.concat(F.lit("Observed CI outputs: "), F.array_join(F.transform("l", lambda x: x["label"]), ", "), F.when(F.size(paths) > 0, F.concat(F.lit("; paths: "), F.array_join(paths, ", "))).otherwise(F.lit("")))
     out.append(_section(parts, "artifacts_and_reports", F.size("l") > 0, art_text, F.col("n")))
 

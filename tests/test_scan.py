@@ -163,6 +163,18 @@ def test_inventories_of_a_scan_are_counted_whole(spark):
     assert (rows["test_tag_inventory"]["summary"], rows["test_tag_inventory"]["evidence_total"]) == ("5100 Compose test tags, 5200 view ids", 10300)
 
 
+def test_sections_count_all_matches(spark):
+    yml = "".join(f"  path: build/out{i}\n" for i in range(299, -1, -1)) + "".join(f"  - nightly{i} test{i}UnitTest\n" for i in range(300))
+    texts = [(f"app/src/androidTest/F{i:03}Screen.kt", f"@Composable\nclass F{i:03}Screen\n") for i in range(250)] + [("ci.yml", yml), ("two.yml", "junit: x\n" * 201)]
+    rows = {r["section"]: (r["summary"], r["evidence_total"]) for r in scan.sections(Corpus(spark.createDataFrame(texts, "path string, content string"))).collect()}
+    assert rows["ui_technology_signals"] == ("@Composable usage", 250) and rows["screen_names_inventory"] == ("Found 250 Screen classes", 250)
+    assert rows["scheduled_nightly_signals"] == ("Found 300 schedule-related rules", 300)
+    tasks = ", ".join(sorted(f"test{i}UnitTest" for i in range(300))[:8])
+    assert rows["test_tasks"] == (f"Observed task references: {tasks}", 300)
+    outputs = rows["artifacts_and_reports"]
+    assert outputs[0].endswith("; paths: " + ", ".join(f"build/out{i}" for i in range(299, 291, -1))) and outputs[1] == 501
+
+
 def test_a_broken_detector_fails_alone(spark, monkeypatch):
     bad = dataclasses.replace(registry.DETECTORS[3], probes=(*registry.DETECTORS[3].probes, registry.lines("([", "**/*.kt")))
     monkeypatch.setattr(scan, "DETECTORS", [bad if d.id == bad.id else d for d in registry.DETECTORS])
