@@ -12,7 +12,7 @@ from .. import formats
 from ..functions.redact import REDACTED, sanitize, sanitize_columns
 from ..operators import sections as evidence
 from ..sources import build_files
-from ..sources.corpus import Corpus
+from ..sources.corpus import Corpus, spread
 from . import model_sections, scan
 from .registering import query
 from .registry import DETECTORS, LAYERS
@@ -31,7 +31,8 @@ def _text(template: str, **values: str) -> Column:
 
 
 def _facts(rows: DataFrame, path: Column, text: Column) -> DataFrame:
-    return build_files.facts(Corpus.from_table(rows, path, text))
+    """Facts of a file for each row; rows are spread before their texts are made, as parsing is what costs."""
+    return build_files.facts(Corpus.from_table(spread(rows), path, text))
 
 
 # --- build scripts ----------------------------------------------------------
@@ -93,7 +94,7 @@ def settings_modules(spark, sf):
 
     text = F.concat(F.lit('rootProject.name = "atlas-'), F.count("*").cast("string"), F.lit('"\ninclude('), joined(True, ",\n"), F.lit(")\n// include ':none'\ninclude "), joined(False, ",\n  "), F.lit("\nx = 1\n"))
     one = listed.agg(text.alias("t"))
-    return _facts(one, F.lit("settings.gradle.kts"), F.col("t")).select("kind", "name")
+    return build_files.facts(Corpus.from_table(one, F.lit("settings.gradle.kts"), F.col("t"))).select("kind", "name")
 
 
 # --- version catalogs -------------------------------------------------------
