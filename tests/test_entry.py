@@ -58,7 +58,7 @@ def test_files_made_from_a_small_table_are_spread(spark, tmp_path):
     spark.range(1000).selectExpr("id AS p_partkey", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for name in ("catalog_entries",):
+        for name in ("catalog_entries", "catalog_libraries"):
             sizes = [n for n in queries.QUERIES[name](spark, str(tmp_path)).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
             assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes), name
     finally:
