@@ -251,7 +251,7 @@ def _tree(spark: SparkSession, sf: str) -> Corpus:
     """A small source tree: every supplier is a file of one of four kinds."""
     place = (F.col("s_suppkey") % 4).cast("int")
     chosen = F.get(F.array(*[F.struct(_text(p, k="s_suppkey").alias("p"), _text(t, k="s_suppkey").alias("t")) for p, t in _SOURCES]), place)
-    return Corpus.from_table(_table(spark, sf, "supplier").withColumn("_f", chosen), F.col("_f.p"), F.col("_f.t"))
+    return Corpus.from_table(spread(_table(spark, sf, "supplier").select("s_suppkey")).withColumn("_f", chosen), F.col("_f.p"), F.col("_f.t"))
 
 
 #: What the scan of the tree finds: summary and evidence in SQL over the counts a, b, c, d of the four kinds of files.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveworks import session
 from sieveworks.operators.grep import Rule
-from sieveworks.plans import queries
+from sieveworks.plans import fact_queries, queries
 from sieveworks.streaming.rescan import follow
 
 ROOT = Path(__file__).parent.parent
@@ -65,6 +65,12 @@ def test_files_made_from_a_small_table_are_spread(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_a_scanned_tree_is_spread(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    sizes = [n for n in fact_queries._tree(spark, str(tmp_path)).files.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
 def test_a_stream_matches_what_arrives(spark, tmp_path):
     source, out = f"{tmp_path}/in", f"{tmp_path}/out"
     for part in (1, 2):
