@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..functions.text import name_tokens
+from ..sources.corpus import spread
 
 K1, B, DETECTED_BOOST = 1.5, 0.75, 1.35
 
@@ -43,8 +44,8 @@ def query_terms(query: str) -> list[str]:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``."""
-    return docs.select(key, F.explode(name_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """``key, term, tf``: texts are shuffled by key, so that postings are counted where they are made and not shuffled."""
+    return spread(docs.select(key, text), key).select(key, F.explode(name_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(docs: DataFrame, key: str, text: str) -> DataFrame:

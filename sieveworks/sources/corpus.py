@@ -11,13 +11,13 @@ from ..functions.redact import sanitize
 from ..functions.text import ancestors, base_name, digest, parent_path, split_lines
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` in even parts for all cores.
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` in even parts for all cores, or by ``keys``.
 
     A file of short rows is read by few tasks, however many rows it has and whatever is made from them.
     """
     spark = rows.sparkSession
-    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 @dataclass(frozen=True)

@@ -1,5 +1,6 @@
 """The driver contract without the training-text part; streams."""
 
+import re
 import subprocess
 import sys
 from pathlib import Path
@@ -71,6 +72,14 @@ def test_a_scanned_tree_is_spread(spark, tmp_path):
     assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
+def test_postings_are_not_shuffled(spark, tmp_path):
+    spark.createDataFrame([(1, "One fooBar one"), (2, None), (1, "one")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["tokenize_tf"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, "bar", 1), (1, "foo", 1), (1, "foobar", 1), (1, "one", 3)]
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and not re.search(r"hashpartitioning\(doc_id#\d+L?, term", plan)
+
+
 def test_a_stream_matches_what_arrives(spark, tmp_path):
     source, out = f"{tmp_path}/in", f"{tmp_path}/out"
     for part in (1, 2):
